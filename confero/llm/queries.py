@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, packing, warc
+from . import bpe, fingerprint, language, neardup, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_language_id": language.op6_language_id,
     "op7_i_match": fingerprint.op7_i_match,
+    "op8_minhash_neardup": neardup.op8_minhash_neardup,
     "op9_warc": warc.op9_warc,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
