@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, language, neardup, packing, quality, toxicity, warc
+from . import bpe, fingerprint, language, lm, mtree, neardup, packing, quality, toxicity, warc
 
 QUERIES = {
+    "op1_exact_top_k": mtree.op1_exact_top_k,
+    "op2_lm_scoring": lm.op2_lm_scoring,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_byte_bpe": bpe.op5_byte_bpe,
@@ -16,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_exact_top_k": mtree.ORACLE,
     "op9_warc": warc.ORACLE,
 }
