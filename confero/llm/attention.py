@@ -76,7 +76,7 @@ def conditional(lex: Lexicon, pairs: np.ndarray, counts: np.ndarray, strength: f
     base, member = base.astype(np.float32), member.astype(np.float32)
     total = pairs @ member
     lex.cond = np.log((pairs + strength * base + 1e-12) / (total[:, klass] + strength))
-    share = np.bincount(lex.klass, counts + 1e-3, CLASSES) / (counts + 1e-3).sum()
+    share = (np.bincount(lex.klass, counts + 1e-3, CLASSES) + 1e-3) / (counts + 1e-3).sum()
     lex.prior = np.log((total + strength * share.astype(np.float32)) / (total.sum(axis=1, keepdims=True) + strength))
 
 
