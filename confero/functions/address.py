@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lower_plain
+from .text import let, lower_plain
 
 # Words of addresses and what they stand for.
 STOP_WORDS = ("de", "da", "do", "das", "dos", "e")
@@ -43,15 +43,25 @@ def parts(t: Column) -> Column:
     digits = lambda x: x.rlike("^[0-9]+$")
     bare = lambda x: F.when(digits(x), F.coalesce(F.nullif(F.regexp_replace(x, "^0+", ""), F.lit("")), F.lit("0"))).otherwise(x)
     first = lambda a, test: F.coalesce(F.array_position(F.transform(a, lambda x: test(x)), True), F.lit(0))
-    at = first(t, lambda x: digits(x) | x.isin("numero", "semnumero", *COMPLEMENTS))
-    cut = F.when(at == 0, F.size(t)).otherwise(at - 1).cast("int")
-    via, tail = F.slice(t, F.lit(1), cut), F.slice(t, cut + 1, F.size(t))
-    none, number = first(tail, lambda x: x == "semnumero"), first(tail, digits)
-    used = F.when((number > 0) & ((none == 0) | (number < none)), number).otherwise(0)
-    numero = F.when(none > 0, "sn").when(number > 0, bare(F.try_element_at(tail, number.cast("int")))).otherwise("")
-    rest = F.filter(F.transform(tail, lambda x, i: F.when(x.isin("numero", "semnumero") | (i + 1 == used), "").otherwise(bare(x))), lambda x: x != "")
-    every = F.concat(via, F.when(numero != "", F.array(numero)).otherwise(F.array().cast("array<string>")), rest)
-    return F.struct(F.array_join(via, " ").alias("via"), via.alias("via_tokens"), numero.alias("numero"), F.array_join(rest, " ").alias("complemento"), rest.alias("complemento_tokens"), every.alias("all_tokens"))
+
+    def cut(at: Column) -> Column:
+        return let(F.when(at == 0, F.size(t)).otherwise(at - 1).cast("int"), lambda n: let(F.struct(F.slice(t, F.lit(1), n).alias("via"), F.slice(t, n + 1, F.size(t)).alias("tail")), placed))
+
+    def placed(v: Column) -> Column:
+        found = F.struct(first(v["tail"], lambda x: x == "semnumero").alias("none"), first(v["tail"], digits).alias("number"))
+        return let(found, lambda f: named(v["via"], v["tail"], f["none"], f["number"]))
+
+    def named(via: Column, tail: Column, none: Column, number: Column) -> Column:
+        used = F.when((number > 0) & ((none == 0) | (number < none)), number).otherwise(0)
+        numero = F.when(none > 0, "sn").when(number > 0, let(F.try_element_at(tail, number.cast("int")), bare)).otherwise("")
+        rest = F.filter(F.transform(tail, lambda x, i: F.when(x.isin("numero", "semnumero") | (i + 1 == used), "").otherwise(bare(x))), lambda x: x != "")
+        return let(F.struct(numero.alias("numero"), rest.alias("rest")), lambda z: whole(via, z["numero"], z["rest"]))
+
+    def whole(via: Column, numero: Column, rest: Column) -> Column:
+        every = F.concat(via, F.when(numero != "", F.array(numero)).otherwise(F.array().cast("array<string>")), rest)
+        return F.struct(F.array_join(via, " ").alias("via"), via.alias("via_tokens"), numero.alias("numero"), F.array_join(rest, " ").alias("complemento"), rest.alias("complemento_tokens"), every.alias("all_tokens"))
+
+    return let(first(t, lambda x: digits(x) | x.isin("numero", "semnumero", *COMPLEMENTS)), cut)
 
 
 def common_length(a: Column, b: Column) -> Column:
@@ -71,13 +81,17 @@ def common_length(a: Column, b: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """Similarity of two token sets, 0 to 1, times the share of tokens (with repeats) that both have."""
-    both = F.array_sort(F.array_intersect(a, b))
-    left, right = (F.array_join(F.array_sort(F.array_except(x, y)), " ") for x, y in ((a, b), (b, a)))
-    s, l, r = F.length(F.array_join(both, " ")), F.length(left), F.length(right)
-    whole_l, whole_r = s + 1 + l, s + 1 + r
-    edits = l + r - 2 * common_length(left, right)
-    ratios = [100.0 - 100.0 * d / n for d, n in ((edits, whole_l + whole_r), (1 + l, s + whole_l), (1 + r, s + whole_r))]
-    ratio = F.when((l == 0) | (r == 0), 100.0).otherwise(F.greatest(*ratios))
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    shared = F.aggregate(both, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
-    return F.when(F.size(both) == 0, F.lit(0.0)).otherwise(ratio / 100.0 * (shared / F.greatest(F.size(a), F.size(b))))
+
+    def rated(v: Column) -> Column:
+        both, left, right = v["both"], v["left"], v["right"]
+        s, l, r = F.length(F.array_join(both, " ")), F.length(left), F.length(right)
+        whole_l, whole_r = s + 1 + l, s + 1 + r
+        edits = l + r - 2 * common_length(left, right)
+        ratios = [100.0 - 100.0 * d / n for d, n in ((edits, whole_l + whole_r), (1 + l, s + whole_l), (1 + r, s + whole_r))]
+        ratio = F.when((l == 0) | (r == 0), 100.0).otherwise(F.greatest(*ratios))
+        shared = F.aggregate(both, F.lit(0), lambda n, x: n + F.least(count(a, x), count(b, x)))
+        return F.when(F.size(both) == 0, F.lit(0.0)).otherwise(ratio / 100.0 * (shared / F.greatest(F.size(a), F.size(b))))
+
+    sets = [F.array_join(F.array_sort(F.array_except(x, y)), " ").alias(n) for n, x, y in (("left", a, b), ("right", b, a))]
+    return let(F.struct(F.array_sort(F.array_intersect(a, b)).alias("both"), *sets), rated)

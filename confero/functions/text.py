@@ -85,3 +85,8 @@ def total_format(x: Column) -> Column:
 
 def flag(c: Column) -> Column:
     return F.when(c, "1,0").otherwise("0,0")
+
+
+def let(value: Column, use) -> Column:
+    """Evaluates `value` once for all its uses in use(value)."""
+    return F.element_at(F.transform(F.array(value), use), 1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.address import parts, token_set_ratio, tokenize
-from ..functions.text import flag, soundex4, tokens, two_places
+from ..functions.text import flag, let, soundex4, tokens, two_places
 
 ZERO = "0,0"
 #: Number of partial scores of each type; T stands for every other type.
@@ -116,20 +116,30 @@ def parse_number(c: Column) -> Column:
 
 def number(l: Column, r: Column) -> Column:
     """Numbers as written: equal, near in absolute and in relative terms, equal when rounded."""
-    a, b = parse_number(l), parse_number(r)
     dec = lambda c: c.cast("decimal(18,6)")
-    diff, scale = dec(F.abs(a - b)), dec(F.greatest(F.abs(a), F.abs(b), F.lit(1).cast("decimal(18,6)")))
-    whole = (a == F.floor(a)) & (b == F.floor(b))
-    tolerance = dec(F.when(whole, F.lit(5).cast("decimal(18,6)")).otherwise(F.greatest(dec(F.expr("0.05BD") * scale), F.expr("0.01BD"))))
-    near = lambda d: (F.expr("1BD") - F.least(diff / d, F.expr("1BD"))).cast("double")
-    rounded = F.when(whole & (diff <= 1), True).otherwise(F.when(scale <= 1000, F.round(a, 2) == F.round(b, 2)).otherwise(F.round(a, 1) == F.round(b, 1)))
-    scores = [_one(a == b), near(tolerance), near(scale), _one(rounded)]
-    return F.when(a.isNotNull() & b.isNotNull(), _result([flag(a == b), *map(two_places, scores[1:])], _sum(scores))).otherwise(zeros(4))
+
+    def scored(v: Column) -> Column:
+        a, b, diff, scale, whole = (v[x] for x in ("a", "b", "diff", "scale", "whole"))
+        tolerance = dec(F.when(whole, F.lit(5).cast("decimal(18,6)")).otherwise(F.greatest(dec(F.expr("0.05BD") * scale), F.expr("0.01BD"))))
+        near = lambda d: (F.expr("1BD") - F.least(diff / d, F.expr("1BD"))).cast("double")
+        rounded = F.when(whole & (diff <= 1), True).otherwise(F.when(scale <= 1000, F.round(a, 2) == F.round(b, 2)).otherwise(F.round(a, 1) == F.round(b, 1)))
+        return let(F.struct((a == b).alias("same"), near(tolerance).alias("n1"), near(scale).alias("n2"), _one(rounded).alias("n3")), shown)
+
+    def shown(v: Column) -> Column:
+        return _result([flag(v["same"]), *(two_places(v[x]) for x in ("n1", "n2", "n3"))], _sum([_one(v["same"]), v["n1"], v["n2"], v["n3"]]))
+
+    def measured(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        more = F.struct(a.alias("a"), b.alias("b"), dec(F.abs(a - b)).alias("diff"), dec(F.greatest(F.abs(a), F.abs(b), F.lit(1).cast("decimal(18,6)"))).alias("scale"), ((a == F.floor(a)) & (b == F.floor(b))).alias("whole"))
+        return F.when(a.isNotNull() & b.isNotNull(), let(more, scored)).otherwise(zeros(4))
+
+    return let(F.struct(parse_number(l).alias("a"), parse_number(r).alias("b")), measured)
 
 
 def address(l: Column, r: Column) -> Column:
     """Street, number, complement and all tokens of two addresses."""
-    return _address(parts(tokenize(l)), parts(tokenize(r)))
+    cut = lambda t: let(F.struct(parts(t["l"]).alias("l"), parts(t["r"]).alias("r")), lambda s: _address(s["l"], s["r"]))
+    return let(F.struct(tokenize(l).alias("l"), tokenize(r).alias("r")), cut)
 
 
 def _address(a: Column, b: Column) -> Column:
@@ -139,8 +149,13 @@ def _address(a: Column, b: Column) -> Column:
     rest = F.lit(0.5) * token_set_ratio(a["complemento_tokens"], b["complemento_tokens"])
     every = F.lit(0.8) * token_set_ratio(a["all_tokens"], b["all_tokens"])
     jaccard = F.lit(0.5) * jaccard_ratio(a["all_tokens"], b["all_tokens"])
-    points = [flag(via), two_places(street), flag(number_), two_places(rest), two_places(every), two_places(jaccard)]
-    return _result(points, _sum([_one(via), street, _one(number_), rest, every, jaccard]))
+    values = F.struct(*(x.alias(n) for n, x in (("via", via), ("street", street), ("number", number_), ("rest", rest), ("every", every), ("jaccard", jaccard))))
+
+    def shown(v: Column) -> Column:
+        points = [flag(v["via"]), two_places(v["street"]), flag(v["number"]), two_places(v["rest"]), two_places(v["every"]), two_places(v["jaccard"])]
+        return _result(points, _sum([_one(v["via"]), v["street"], _one(v["number"]), v["rest"], v["every"], v["jaccard"]]))
+
+    return let(values, shown)
 
 
 def jaccard_ratio(a: Column, b: Column) -> Column:
