@@ -13,6 +13,7 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -198,28 +199,36 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         counts, weights, lexicon = shared.value
-        value = {w: float(np.log10(c + 0.1)) for w, c in counts.items()}
-        memory = {w: math.log(MEMORY * c / n_train) for w, c in counts.items()}
+        index = {w: i for i, w in enumerate(counts)}
+        n = np.array([*counts.values(), 1], float)  # the last is for words outside the list
+        base, memory = np.log10(n + 0.1), np.log(MEMORY * n / max(n_train, 1))
+        base[-1], memory[-1] = 0.0, -1e9
         scorer, bpe = attention.Scorer(weights, lexicon), word_bpe()
         row = TaskContext.get().partitionId() << 36
         for big in source:
             for batch in slices(big, "text", 1 << 20):
                 ids, texts, held = columns(batch, "doc_id", "text", "held_out")
-                split = [word_bytes(t) for t in texts]
-                pieces = [bpe.encode(w) for w in split]
-                like = scorer.score([np.frombuffer(b"".join(p), "<u4").astype(np.int64) for p in pieces])
-                # words of each text and its end, as runs of ids; the frequent ones are known as a whole as well
-                lens = np.array([n for p in pieces for n in (*[len(i) // 4 for i in p], 1)])
-                whole = [w for some in split for w in (*some, END)]
-                spelt = np.add.reduceat(like, np.cumsum(lens) - lens) + math.log(1 - MEMORY)
-                like = np.logaddexp(spelt, np.array([memory.get(w, -1e9) for w in whole])) / math.log(10)
-                texts_at = np.cumsum([0, *(len(w) + 1 for w in split[:-1])])
-                for doc_id, w, h, s in zip(ids, split, held, np.add.reduceat(like, texts_at).tolist()):
-                    w.append(END)
-                    got = list(map(value.get, w))
-                    rare = Counter(x for x, v in zip(w, got) if v is None) if None in got else {}
-                    n_rare = sum(rare.values())
-                    yield row, doc_id, h, len(w), len(w) - n_rare, sum(v for v in got if v is not None), s, list(rare), list(rare.values())
+                split = [[*word_bytes(t), END] for t in texts]
+                whole = list(chain.from_iterable(split))
+                pieces = bpe.encode(whole)
+                n_words = np.fromiter(map(len, split), np.int64, len(split))
+                last = np.cumsum(n_words) - 1
+                lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+                flat = np.frombuffer(b"".join(pieces), "<u4").astype(np.int64)
+                like = np.concatenate([[0.0], np.cumsum(scorer.score(np.split(flat, np.cumsum(lens)[last[:-1]])))])
+                lens[last] += 1  # the text's end
+                stop = np.cumsum(lens)
+                at = np.fromiter(map(index.get, whole, repeat(-1)), np.int64, len(whole))
+                # a frequent word is known as a whole as well
+                like = np.logaddexp(like[stop] - like[stop - lens] + math.log(1 - MEMORY), memory[at]) / math.log(10)
+                first = last - n_words + 1
+                scores, bases, known = (np.add.reduceat(x, first).tolist() for x in (like, base[at], (at >= 0).astype(np.int64)))
+                outside = np.flatnonzero(at < 0)
+                cuts = np.searchsorted(outside, [*first, len(whole)]).tolist()
+                outside = outside.tolist()
+                for i, (doc_id, h, n_own) in enumerate(zip(ids, held, n_words.tolist())):
+                    rare = Counter(whole[k] for k in outside[cuts[i] : cuts[i + 1]])
+                    yield row, doc_id, h, n_own, known[i], bases[i], scores[i], list(rare), list(rare.values())
                     row += 1
 
     ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>"
