@@ -2,7 +2,8 @@
 
 The probability of the next id is  p(class | attention over the window) * p(id | class, piece before it in the
 word).  The second factor is counts of the whole learning corpus; the first is one attention layer with relative
-position biases.  A class is one of the most frequent ids or a group of the rest by word end and frequency.
+position biases.  A class is a group of frequent ids that keep the same company, such as a language's, or a group
+of the rest by word end and frequency.
 """
 
 from __future__ import annotations
@@ -12,7 +13,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 WINDOW, OVERLAP, WIDTH = 48, 8, 8
-TOP, SINGLE, CLASSES = 2048, 22, 32
+TOP, GROUPS, CLASSES = 2048, 22, 32
+#: Ids whose company tells groups of frequent ids apart: the most frequent ones.
+COMPANY = 64
 #: Rows of counts: a piece that began its word, a piece further on, and the beginning of a word.
 ROWS = 2 * (TOP + 1) + 1
 NAMES = ("E", "Wq", "Wk", "Wv", "Wr", "rel", "U", "b")
@@ -46,16 +49,40 @@ class Lexicon:
         return np.where(self.top[ids] < TOP, self.top[ids], TOP + self.klass[ids])
 
 
-def lexicon(counts: np.ndarray, ends: np.ndarray) -> Lexicon:
-    """From the ids' counts, start and end of text last."""
-    n = len(counts)
-    order = np.lexsort((np.arange(n), -counts))
-    top = np.full(n, TOP, np.int32)
-    top[order[:TOP]] = np.arange(min(TOP, n))
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    band = np.minimum(np.log2(np.maximum(rank - SINGLE, 0) + 1) / 4, 3.99).astype(np.int64)
-    klass = np.where(rank < SINGLE, rank, SINGLE + band * 2 + ends).astype(np.int32)
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """Each id's place by its count, the most frequent first."""
+    rank = np.empty(len(counts), np.int64)
+    rank[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
+    return rank
+
+
+def groups(company: np.ndarray, rounds: int = 25, seed: int = 5) -> np.ndarray:
+    """Groups frequent ids by what stands in the same windows: k-means on log-ratios to the expected company."""
+    total = company.sum(axis=0) + 1
+    share = total / total.sum()
+    ratio = np.log((company + 20 * share) / (company.sum(axis=1, keepdims=True) + 20) / share) * np.sqrt(share)
+    weight = np.sqrt(company.sum(axis=1) + 1)
+    rng = np.random.default_rng(seed)
+    far, centres = np.full(len(ratio), np.inf), []
+    for _ in range(GROUPS):
+        odds = weight * np.minimum(far, 1e9)
+        centres.append(ratio[rng.choice(len(ratio), p=odds / odds.sum())] if odds.sum() > 0 else ratio[0])
+        far = np.minimum(far, ((ratio - centres[-1]) ** 2).sum(axis=1))
+    centre = np.array(centres)
+    for _ in range(rounds):
+        own = ((ratio**2).sum(axis=1, keepdims=True) - 2 * ratio @ centre.T + (centre**2).sum(axis=1)).argmin(axis=1)
+        mass = np.bincount(own, weight, GROUPS)
+        for g in np.flatnonzero(mass):
+            centre[g] = weight[own == g] @ ratio[own == g] / mass[g]
+    return own
+
+
+def lexicon(counts: np.ndarray, ends: np.ndarray, grouped: np.ndarray) -> Lexicon:
+    """From the ids' counts, start and end of text last, and the groups of the TOP most frequent ids."""
+    n, rank = len(counts), ranks(counts)
+    top = np.minimum(rank, TOP).astype(np.int32)
+    band = np.clip(np.log2(np.maximum(rank - TOP, 0) / TOP + 1), 0, 3.99).astype(np.int64)
+    klass = np.where(rank < TOP, grouped[np.minimum(rank, TOP - 1)], GROUPS + band * 2 + ends).astype(np.int32)
     klass[-1], klass[-2] = CLASSES - 1, CLASSES - 2
     rest = np.where(top == TOP, counts + 0.1, 0.0)
     inside = np.zeros(n, np.float32)
@@ -155,8 +182,8 @@ class Scorer:
         self.q, self.k, self.v, self.r = e @ p["Wq"] * scale, e @ p["Wk"], e @ p["Wv"], e @ p["Wr"]
         self.bias = np.where(_LAG >= 0, np.exp(np.minimum(_bias(p["rel"]), 30)), 0).astype(np.float32)
 
-    def score(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Natural log-probability of each id of each text and of each text's end, one after another."""
+    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Natural log-probability of each id of each text and of each text's end, one after another, and of their classes."""
         lex, stride = self.lex, WINDOW - OVERLAP
         lengths = np.array([len(t) + 1 for t in texts])
         stream = np.concatenate([x for t in texts for x in ((lex.start,), t, (lex.end,))]).astype(np.int64)
@@ -167,7 +194,7 @@ class Scorer:
         nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
         begin, stop = first[text] + nth * stride, first[text] + lengths[text]
         column = lex.column(stream)
-        total = np.zeros(int(lengths.sum()))
+        total, of_class = np.zeros(int(lengths.sum())), np.zeros(int(lengths.sum()))
         shift = np.repeat(np.arange(len(texts)), windows)  # starts of text that stand before a window's ids in the stream
         row = lex.row(stream)
         within = lex.cond[row[:-1], column[1:]] + lex.inside[stream[1:]]
@@ -188,6 +215,8 @@ class Scorer:
             place = at.ravel()[use]
             z = g.reshape(-1, WIDTH)[use] @ self.u + self.b
             z += lex.prior[row[place]]
-            like = z[np.arange(len(use)), klass[place + 1]] - np.log(np.exp(np.minimum(z, 80)).sum(axis=1)) + within[place]
-            total[place - np.repeat(shift[i : i + 256], valid.sum(axis=1))] = like
-        return total
+            like = z[np.arange(len(use)), klass[place + 1]] - np.log(np.exp(np.minimum(z, 80)).sum(axis=1))
+            out = place - np.repeat(shift[i : i + 256], valid.sum(axis=1))
+            of_class[out] = like
+            total[out] = like + within[place]
+        return total, of_class

@@ -1,6 +1,7 @@
 """Language-model scoring of whole texts: an add-0.1 unigram model of words as a base, and the attention model.
 
-The model reads a word from a memory of the most frequent words, by their counts, or spells it in subwords; the
+The attention model gives the class of a word's first subword; the word is then read from a memory of the most
+frequent words, by their discounted counts in that class, or spelt in subwords with the discounts' mass; the
 probability is the sum of both ways.  Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights
 are trained where the texts are, a window of every such text, and averaged after each round.  The most frequent
 words' counts go to every executor, a bounded list; the rest of the words are joined with their counts.
@@ -28,8 +29,8 @@ from .subwords import word_bpe
 #: Words whose counts are sent to the executors; the bound of that list.
 HEAD = 100_000
 END = b""
-#: A word is read from the memory of frequent words with this probability, else spelt by the attention model.
-MEMORY = 0.6
+#: What each count in the memory of frequent words leaves to spelling.
+DISCOUNT = 0.75
 ROUNDS = 2
 
 
@@ -88,23 +89,40 @@ def _pair_counts(lex: attention.Lexicon):
 _CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
 
-def _windows(lex: attention.Lexicon):
-    """A window of each text, at a place that its id decides: ids of WINDOW + 1 positions, short ones padded with the end."""
+def _windows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """A window of each text, at a place that its id decides: ids of WINDOW + 1 positions, short ones padded with -1."""
+    bpe, w = word_bpe(), attention.WINDOW
+    for big in source:
+        for batch in slices(big, "text"):
+            for doc_id, text in zip(*columns(batch, "doc_id", "text")):
+                words = word_bytes(text)
+                h = zlib.crc32(b"window %d" % doc_id)
+                # a third of the windows begin with the text
+                at = 0 if h % 3 == 0 or len(words) <= w else (h >> 4) % (len(words) - w // 2)
+                ids = np.frombuffer(b"".join(bpe.encode(words[at : at + w])), "<u4").astype(np.int64)
+                whole = at + w >= len(words)
+                seq = np.concatenate([[bpe.size] * (at == 0), ids, [bpe.size + 1] * whole]).astype(np.int32)[: w + 1]
+                if len(seq) > 1:
+                    yield (h & 0x7FFFFFFF, np.concatenate([seq, np.full(w + 1 - len(seq), -1, np.int32)]).tobytes())
+
+
+def _company(rank: np.ndarray):
+    """How often frequent ids stand in the same window as the most frequent ones."""
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        bpe, w = word_bpe(), attention.WINDOW
-        for big in source:
-            for batch in slices(big, "text"):
-                for doc_id, text in zip(*columns(batch, "doc_id", "text")):
-                    words = word_bytes(text)
-                    h = zlib.crc32(b"window %d" % doc_id)
-                    # a third of the windows begin with the text
-                    at = 0 if h % 3 == 0 or len(words) <= w else (h >> 4) % (len(words) - w // 2)
-                    ids = np.frombuffer(b"".join(bpe.encode(words[at : at + w])), "<u4").astype(np.int64)
-                    whole = at + w >= len(words)
-                    seq = np.concatenate([[lex.start] * (at == 0), ids, [lex.end] * whole]).astype(np.int32)[: w + 1]
-                    if len(seq) > 1:
-                        yield (h & 0x7FFFFFFF, np.concatenate([seq, np.full(w + 1 - len(seq), -1, np.int32)]).tobytes())
+        found, n = np.zeros((attention.TOP, attention.COMPANY)), 0
+        for batch in source:
+            held = columns(batch, "ids")[0]
+            for i in range(0, len(held), 256):
+                seq = np.frombuffer(b"".join(held[i : i + 256]), np.int32).reshape(-1, attention.WINDOW + 1)
+                place = np.where(seq >= 0, rank[np.maximum(seq, 0)], attention.TOP)
+                at = np.arange(len(seq))[:, None] * (attention.TOP + 1) + np.minimum(place, attention.TOP)
+                bags = np.bincount(at.ravel(), minlength=len(seq) * (attention.TOP + 1)).reshape(len(seq), -1)[:, :-1].astype(np.float32)
+                both = bags.T @ bags[:, : attention.COMPANY]
+                both[np.arange(attention.COMPANY), np.arange(attention.COMPANY)] -= bags[:, : attention.COMPANY].sum(axis=0)
+                found, n = found + both, n + len(seq)
+        if n:
+            yield TaskContext.get().partitionId() % 16, n, pickle.dumps({"company": found})
 
     return rows
 
@@ -148,32 +166,54 @@ def _add(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield 0, n, pickle.dumps(total)
 
 
-def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str, np.ndarray], attention.Lexicon]:
-    """The attention model of the learning texts (doc_id, text) and their word counts."""
+def _summed(windows: DataFrame, run) -> tuple[int, dict[str, np.ndarray]]:
+    """Sums of what the tasks over the windows yield, by way of four tasks."""
+    ddl = "part int, n long, weights binary"
+    sums = windows.select("ids").mapInArrow(lambda s: batches(run(s), _WEIGHTS, 8), ddl)
+    sums = sums.repartition(4, "part").mapInArrow(lambda s: batches(_add(s), _WEIGHTS, 8), ddl).collect()
+    parts = [pickle.loads(r["weights"]) for r in sums]
+    return sum(r["n"] for r in sums), {k: sum(p[k] for p in parts) for k in (parts[0] if parts else ())}
+
+
+def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str, np.ndarray], attention.Lexicon, np.ndarray]:
+    """The attention model of the learning texts (doc_id, text) and their word counts; the number of words by the
+    class that they begin with."""
     bpe = word_bpe()
     counts = np.zeros(bpe.size + 2)
     got = _sum_partials(words.mapInArrow(lambda s: batches(_subword_counts(s), _CELL, 20000), "cell long, n long"), "", "cell").collect()
     counts[[r[0] for r in got]] = [r[1] for r in got]
     counts[-1] = counts[-2] = words.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    lex = attention.lexicon(counts, np.concatenate([bpe.ends, [True, True]]))
+    windows = scratch.save(docs.mapInArrow(lambda s: batches(_windows(s), pa.schema([("h", pa.int64()), ("ids", pa.binary())]), 2000), "h long, ids binary"), "windows")
+    company = _company(attention.ranks(counts))
+    company = _summed(windows, company)[1].get("company", np.zeros((attention.TOP, attention.COMPANY)))
+    lex = attention.lexicon(counts, np.concatenate([bpe.ends, [True, True]]), attention.groups(company))
     pairs = np.zeros((attention.ROWS, attention.TOP + attention.CLASSES), np.float32)
     got = _sum_partials(words.mapInArrow(lambda s: batches(_pair_counts(lex)(s), _CELL, 20000), "cell long, n long"), "", "cell").toPandas()
     # the text's end comes where a word could begin
     pairs.ravel()[got["cell"].to_numpy()] = got["n"].to_numpy()
     pairs[attention.ROWS - 1, lex.column(np.array([lex.end]))[0]] = counts[-1]
     attention.conditional(lex, pairs, counts)
+    begun = np.bincount(lex.klass, np.where(lex.top < attention.TOP, pairs[-1, np.minimum(lex.top, attention.TOP - 1)], 0), attention.CLASSES)
+    begun += pairs[-1, attention.TOP :]
     p = attention.initial()
-    windows = scratch.save(docs.mapInArrow(lambda s: batches(_windows(lex)(s), pa.schema([("h", pa.int64()), ("ids", pa.binary())]), 2000), "h long, ids binary"), "windows")
     small = attention.Lexicon(lex.top, lex.klass, lex.inside, lex.ends, lex.prior)
     for turn in range(ROUNDS):
-        run = _train(pickle.dumps(p), small, 0.01 / (1 + turn))
-        ddl = "part int, n long, weights binary"
-        sums = windows.where(F.col("h") % ROUNDS == turn).select("ids").mapInArrow(lambda s, run=run: batches(run(s), _WEIGHTS, 8), ddl)
-        sums = sums.repartition(4, "part").mapInArrow(lambda s: batches(_add(s), _WEIGHTS, 8), ddl).collect()
-        if n := sum(r["n"] for r in sums):
-            p = {k: sum(pickle.loads(r["weights"])[k] for r in sums) / np.float32(n) for k in p}
+        n, total = _summed(windows.where(F.col("h") % ROUNDS == turn), _train(pickle.dumps(p), small, 0.01 / (1 + turn)))
+        if n:
+            p = {k: v / np.float32(n) for k, v in total.items()}
     scratch.drop("windows")
-    return p, lex
+    return p, lex, begun
+
+
+def _memory(words: list[bytes], n: np.ndarray, lex: attention.Lexicon, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of frequent words in the class that they begin with, and what each class leaves to spelling."""
+    ids = word_bpe().encode(words)
+    first = np.array([int.from_bytes(i[:4], "little") if i else lex.end if w == END else -1 for w, i in zip(words, ids)], np.int64)
+    klass, some = lex.klass[first], first >= 0
+    kept = np.where(some, n - DISCOUNT, 0.0)
+    total = np.maximum(begun, np.bincount(klass, kept, attention.CLASSES)) + 1
+    memory = np.append(np.log(np.maximum(kept / total[klass], 1e-300)), -1e9)
+    return memory, np.log(1 - np.bincount(klass, kept, attention.CLASSES) / total)
 
 
 _SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
@@ -193,17 +233,18 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
     words = scratch.save(_sum_partials(learn.mapInArrow(lambda s: batches(_count_words(s), _WORDS, 20000), "word binary, n long"), "", "word"), "words")
     n_train, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(head).collect()}
-    p, lex = train(learn, words, scratch)
-    shared = spark.sparkContext.broadcast((frequent, p, lex))
+    p, lex, begun = train(learn, words, scratch)
+    shared = spark.sparkContext.broadcast((frequent, p, lex, begun))
     below = float(np.log10(n_train + 0.1 * (kinds + 1)))
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        counts, weights, lexicon = shared.value
+        counts, weights, lexicon, begun = shared.value
         index = {w: i for i, w in enumerate(counts)}
         n = np.array([*counts.values(), 1], float)  # the last is for words outside the list
-        base, memory = np.log10(n + 0.1), np.log(MEMORY * n / max(n_train, 1))
-        base[-1], memory[-1] = 0.0, -1e9
+        base = np.log10(n + 0.1)
+        base[-1] = 0.0
         scorer, bpe = attention.Scorer(weights, lexicon), word_bpe()
+        memory, spelling = _memory(list(counts), n[:-1], lexicon, begun)
         row = TaskContext.get().partitionId() << 36
         for big in source:
             for batch in slices(big, "text", 1 << 20):
@@ -215,13 +256,17 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
                 last = np.cumsum(n_words) - 1
                 lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
                 flat = np.frombuffer(b"".join(pieces), "<u4").astype(np.int64)
-                like = np.concatenate([[0.0], np.cumsum(scorer.score(np.split(flat, np.cumsum(lens)[last[:-1]])))])
-                lens[last] += 1  # the text's end
-                stop = np.cumsum(lens)
+                like, of_class = scorer.score(np.split(flat, np.cumsum(lens)[last[:-1]]))
+                like = np.concatenate([[0.0], np.cumsum(like)])
                 at = np.fromiter(map(index.get, whole, repeat(-1)), np.int64, len(whole))
-                # a frequent word is known as a whole as well
-                like = np.logaddexp(like[stop] - like[stop - lens] + math.log(1 - MEMORY), memory[at]) / math.log(10)
                 first = last - n_words + 1
+                # the ids with the texts' ends, and where each word begins; a word without ids is as likely as not
+                ended = np.insert(flat, np.cumsum(lens)[last], lexicon.end)
+                lens[last] += 1
+                stop = np.cumsum(lens)
+                begin = np.minimum(stop - lens, len(ended) - 1)
+                spelt = like[stop] - like[stop - lens] + np.where(lens > 0, spelling[lexicon.klass[ended[begin]]], math.log(0.5))
+                like = np.logaddexp(spelt, np.where(lens > 0, of_class[begin], -1e9) + memory[at]) / math.log(10)
                 scores, bases, known = (np.add.reduceat(x, first).tolist() for x in (like, base[at], (at >= 0).astype(np.int64)))
                 outside = np.flatnonzero(at < 0)
                 cuts = np.searchsorted(outside, [*first, len(whole)]).tolist()
