@@ -92,7 +92,8 @@ def lexicon(counts: np.ndarray, ends: np.ndarray, grouped: np.ndarray) -> Lexico
 
 
 def conditional(lex: Lexicon, pairs: np.ndarray, counts: np.ndarray, strength: float = 4.0) -> None:
-    """Sets lex.prior and lex.cond from pair counts (row, column), smoothed by the ids' own counts."""
+    """Sets lex.prior and lex.cond from pair counts (row, column), smoothed by the ids' own counts.  Classes at the
+    beginning of a word are counted by a row more than ROWS."""
     own = np.bincount(lex.column(np.arange(len(counts))), counts + 0.1, TOP + CLASSES)
     klass = np.empty(TOP + CLASSES, np.int64)
     klass[lex.column(np.arange(len(counts)))] = lex.klass
@@ -102,7 +103,8 @@ def conditional(lex: Lexicon, pairs: np.ndarray, counts: np.ndarray, strength: f
     member[np.arange(TOP + CLASSES), klass] = 1
     base, member = base.astype(np.float32), member.astype(np.float32)
     total = pairs @ member
-    lex.cond = np.log((pairs + strength * base + 1e-12) / (total[:, klass] + strength))
+    lex.cond = np.log((pairs[:-1] + strength * base + 1e-12) / (total[:-1, klass] + strength))
+    total = np.concatenate([total[:-2], total[-1:]])
     share = (np.bincount(lex.klass, counts + 1e-3, CLASSES) + 1e-3) / (counts + 1e-3).sum()
     lex.prior = np.log((total + strength * share.astype(np.float32)) / (total.sum(axis=1, keepdims=True) + strength))
 

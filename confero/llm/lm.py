@@ -69,7 +69,7 @@ def _subword_counts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _pair_counts(lex: attention.Lexicon):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         bpe, width = word_bpe(), attention.TOP + attention.CLASSES
-        found = np.zeros(attention.ROWS * width, np.float64)
+        found = np.zeros((attention.ROWS + 1) * width, np.float64)
         for batch in source:
             words, n = columns(batch, "word", "n")
             ids = bpe.encode(words)
@@ -78,8 +78,11 @@ def _pair_counts(lex: attention.Lexicon):
                 continue
             lens = np.array([len(i) // 4 for i in ids])
             row = np.concatenate([[attention.ROWS - 1], lex.row(flat)[:-1]])  # every word's last piece is an end
-            cells, where = np.unique(row * width + lex.column(flat), return_inverse=True)
-            found[cells] += np.bincount(where, np.repeat(n, lens))
+            # spelling is for rare words: each different word counts once, and beginnings by their words' counts as well
+            column = lex.column(flat)
+            found[:-width] += np.bincount(row * width + column, minlength=attention.ROWS * width)
+            begin = row == attention.ROWS - 1
+            found[-width:] += np.bincount(column[begin], np.repeat(n, lens)[begin], width)
         for i in np.flatnonzero(found).tolist():
             yield i, int(found[i])
 
@@ -187,11 +190,11 @@ def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str
     company = _company(attention.ranks(counts))
     company = _summed(windows, company)[1].get("company", np.zeros((attention.TOP, attention.COMPANY)))
     lex = attention.lexicon(counts, np.concatenate([bpe.ends, [True, True]]), attention.groups(company))
-    pairs = np.zeros((attention.ROWS, attention.TOP + attention.CLASSES), np.float32)
+    pairs = np.zeros((attention.ROWS + 1, attention.TOP + attention.CLASSES), np.float32)
     got = _sum_partials(words.mapInArrow(lambda s: batches(_pair_counts(lex)(s), _CELL, 20000), "cell long, n long"), "", "cell").toPandas()
     # the text's end comes where a word could begin
     pairs.ravel()[got["cell"].to_numpy()] = got["n"].to_numpy()
-    pairs[attention.ROWS - 1, lex.column(np.array([lex.end]))[0]] = counts[-1]
+    pairs[-1, lex.column(np.array([lex.end]))[0]] = counts[-1]
     attention.conditional(lex, pairs, counts)
     begun = np.bincount(lex.klass, np.where(lex.top < attention.TOP, pairs[-1, np.minimum(lex.top, attention.TOP - 1)], 0), attention.CLASSES)
     begun += pairs[-1, attention.TOP :]
