@@ -48,7 +48,7 @@ def shingles(text: bytes, size: int = 3) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     known = _WORDS
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = xxhash.xxh3_64_intdigest(w)

@@ -17,8 +17,9 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 #: The splitter of the vocabulary file (fixed value).
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile(r"[\x00-\x20\x7f-\xa0\xad]|[^\x00-\xff]")
-#: Words kept in a cache; at the limit it starts afresh, which costs time only.
-_CACHE = 1_000_000
+#: Words, and parts of words, kept in caches; at the limit one starts afresh, which costs time only.  A worker
+#: keeps them from one stage to the next, so they are small beside an executor's memory.
+_CACHE, _PARTS = 400_000, 200_000
 #: Byte-level vocabularies write bytes that do not print as characters from 256 on, in order.
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
@@ -48,7 +49,7 @@ class WordBpe:
         return list(map(known.__getitem__, words))
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.parts) > _CACHE:
+        if len(self.parts) > _PARTS:
             self.parts.clear()
         plain: list[tuple[bytes, list[str]]] = []
         odd: list[bytes] = []
