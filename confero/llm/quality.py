@@ -101,7 +101,8 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int, held: int, most: int) -
     ids = docs.where(may & F.col("text").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(most)
     unlabelled = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")
     prior = labels.where(may & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    p, u = ([features(r["text"].encode()) for r in rows.select("text").toLocalIterator()] for rows in (positive, unlabelled))
+    # in the order of doc_id, whatever order the rows arrive in: the fit is the same in every run
+    p, u = ([x for *_, x in sorted(((r["doc_id"], f.tobytes(), f) for r in rows.select("doc_id", "text").toLocalIterator() for f in [features(r["text"].encode())]), key=lambda x: x[:2])] for rows in (positive, unlabelled))
     model = PositiveUnlabelled()
     if p and u:
         model.fit(np.array(p), np.array(u), min(max(prior, 0.01), 0.99))

@@ -203,6 +203,8 @@ def test_quality(spark):
     held = [i for i in range(400) if got[i]["held_out"]]
     assert sum(got[i]["predicted"] == int(i % 8 < 6) for i in held) > 0.95 * len(held)
     assert 0 <= got[900]["score"] == got[901]["score"] <= 1
+    again = quality.score_quality(d.repartition(3).orderBy(F.desc("doc_id")), l).collect()
+    assert {r["doc_id"]: r["score"] for r in again} == {i: r["score"] for i, r in got.items()}
     assert {r["score"] for r in quality.score_quality(d, l.limit(0)).collect()} == {0.5} and quality.score_quality(d.limit(0), l).count() == 0
 
 
