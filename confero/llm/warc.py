@@ -30,29 +30,41 @@ _RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("
 
 
 def types(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """page_id, digest, first: the smallest page_id with the same payload, null for the response itself.
+    """page_id, digest, rows, first: how many rows have the key; the smallest page_id with the same payload, null for
+    the response itself.
 
     Keys go through the shuffle alone; digests of several pages are gathered first, so that the join's two sides
     are plain scans and a digest that very many pages share can be split.
     """
-    keys = scratch.save(pages.select("page_id", "digest", F.octet_length("payload").alias("n")).distinct(), "keys")
+    keys = scratch.save(pages.groupBy("page_id", "digest", F.octet_length("payload").alias("n")).agg(F.count("*").alias("rows")), "keys")
     shared = scratch.save(keys.where(F.col("n") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first"), "shared")
-    return keys.join(shared, "digest", "left").select("page_id", "digest", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first"))
+    return keys.join(shared, "digest", "left").select("page_id", "digest", "rows", F.when(F.col("first") < F.col("page_id"), F.col("first")).alias("first"))
+
+
+def repeated(pages: DataFrame, kinds: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows whose page_id and payload occur more than once, numbered (copy); one of each key has no number, so that
+    revisits can refer to it.  The numbers are written down once, and no key has to stand in a single task."""
+    again = scratch.save(pages.join(kinds.where("rows > 1"), ["page_id", "digest"]).withColumn("copy", F.monotonically_increasing_id()), "again")
+    plain = again.groupBy("page_id", "digest").agg(F.min("copy").alias("plain"))
+    return again.join(plain, ["page_id", "digest"]).withColumn("copy", F.when(F.col("copy") > F.col("plain"), F.col("copy"))).drop("plain")
 
 
 def write_records(pages: DataFrame, scratch: Scratch, chunk: int = CHUNK) -> DataFrame:
     """Writes an archive of pages (page_id, url, html) and returns its table."""
     pages = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     kinds = scratch.save(types(pages, scratch), "types")
-    rows = pages.join(kinds, ["page_id", "digest"])
+    names = ("page_id", "digest", "url", "payload", "first", "copy")
+    rows = pages.join(kinds.where("rows = 1"), ["page_id", "digest"]).withColumn("copy", F.lit(None).cast("long")).select(*names)
+    if kinds.where("rows > 1").limit(1).count():
+        rows = rows.union(repeated(pages, kinds, scratch).select(*names))
 
     def chunks(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in source:
             for i in range(batch.num_rows):
-                page_id, digest, url, first = (batch.column(c)[i].as_py() for c in ("page_id", "digest", "url", "first"))
+                page_id, digest, url, first, copy = (batch.column(c)[i].as_py() for c in ("page_id", "digest", "url", "first", "copy"))
                 payload = batch.column("payload")[i].as_buffer()
                 n = payload.size if payload is not None else 0
-                record = f"urn:page:{page_id}:{digest}"
+                record = f"urn:page:{page_id}:{digest}" + (f":{copy}" if copy is not None else "")
                 http = _HTTP if first is None else _HTTP[:-2] + b"\r\n"
                 head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <{record}>", f"WARC-Date: {DATE}", f"WARC-Page-ID: {page_id}"]
                 if url:
@@ -117,8 +129,8 @@ def read_records(archive: DataFrame) -> DataFrame:
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Write pages as WARC records and read the archive back.
 
-    A null html is an empty payload, a null url leaves out its header; rows without a page_id are left out.  Rows
-    with the same page_id and payload are one record; the same page_id with other payloads gives a record for each.
+    A null html is an empty payload, a null url leaves out its header; rows without a page_id are left out.  Every
+    other row is a record of its own, also where page_id, url and payload are those of another row.
     """
     scratch = Scratch(pages.sparkSession, "warc")
     return read_records(write_records(pages, scratch))

@@ -171,6 +171,21 @@ def test_warc(spark):
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_rows(spark):
+    one, two = "<p>one</p>" * 300, "<p>two</p>" * 300
+    pages = [(1, "u", one), (1, "u", one), (1, "v", one), (1, "u", two), (2, "u", one), (2, "u", one), (3, None, None), (3, None, None), (4, "u", "alone")]
+    df = spark.createDataFrame(pages * 2, "page_id long, url string, html string")
+    archive = warc.write_records(df, warc.Scratch(spark, "t"), chunk=1000)
+    heads = [bytes(r["data"]).decode() for r in archive.where("chunk = 0").collect()]
+    ids = {re.search("WARC-Record-ID: <(.*)>", h)[1] for h in heads}
+    assert len(ids) == len(heads) == 2 * len(pages)
+    assert {r[1] for h in heads if (r := re.search("WARC-Refers-To: <(.*)>", h))} <= ids
+    assert sorted(re.findall("WARC-Target-URI: (.*)\r", "".join(heads))) == sorted(u for _, u, _ in pages * 2 if u)
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0, r["intact"]) for r in warc.read_records(archive).collect())
+    want = sorted((i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", 1) if i == 2 else ("response", 0)), True) for i, _, h in pages * 2)
+    assert got == want
+
+
 def labelled(spark):
     rng = random.Random(11)
     plain = [f"word{i}" for i in range(60)]
