@@ -2,6 +2,8 @@
 
 Terms (words, hashed to 64 bits) whose document frequency lies in a band form the lexicon; the share at its
 lower end bounds its size, whatever the corpus: no more than (mean distinct terms of a document) / share.
+At the band's upper end a large group of copies or near copies counts as about one document, so that a group
+does not push its own terms out.
 A text keeps its distinct terms of the lexicon in order and hashes those of several random subsets of the
 lexicon, coarse subsets for short texts and fine ones for long texts.  A subset that a text does not touch
 hashes to the empty list's value.
@@ -20,19 +22,54 @@ from .common import SPACE_PATTERN, table, text_or_empty
 EMPTY = 42
 #: Random partitions of the lexicon, as (bits skipped, number of subsets).
 SUBSETS = ((8, 8), (16, 128))
+#: Sketches of a text, each of some neighbours in the order of terms: near copies share one of them nearly always,
+#: texts that have no more than frequent words in common hardly ever.
+SKETCHES, LEAST = 4, 4
+#: Groups with this share of the rows and more count once, which bounds their list; ten of the smaller ones
+#: make no more than the band's lower end.
+GROUP = 0.0005
+ONE = 1 << 30
 
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct words, A-Z in lower case, in order."""
     words = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SPACE_PATTERN)
-    return F.array_sort(F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))))
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))))
+
+
+def sketches(all_terms: Column) -> list[Column]:
+    """Hashes of the LEAST terms that come first from each of SKETCHES places on, the last followed by the first;
+    null for a text without terms."""
+
+    def first(i: int) -> Column:
+        place = F.lit((i << 64) // SKETCHES - (1 << 63))
+        onward = F.concat(F.filter(all_terms, lambda x: x >= place), all_terms) if i else all_terms
+        return F.xxhash64(F.lit(i), F.slice(onward, 1, LEAST))
+
+    return [F.when(F.size(all_terms) > 0, first(i)) for i in range(SKETCHES)]
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> list[int]:
-    """Terms in at least max(2, low * documents) and at most high * documents."""
+    """Terms in at least max(2, low * documents), and in at most high * documents when a text of a large group of
+    near copies counts as its share of the group.
+
+    The group's size is that of the largest set of texts with one of the text's sketches.
+    """
     n = docs.count()
-    counts = docs.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return [r[0] for r in counts.where(F.col("df").between(max(2, math.ceil(low * n)), max(2, math.floor(high * n)))).select("term").collect()]
+    found = docs.select(terms(F.col("text")).alias("t")).select(F.explode(F.array(*sketches(F.col("t")))).alias("sketch"))
+    large = found.where("sketch is not null").groupBy("sketch").agg(F.count("*").alias("size")).where(F.col("size") >= max(2, math.ceil(GROUP * n)))
+    large = [(r["sketch"], r["size"]) for r in large.collect()]
+    counted, size = docs.select(terms(F.col("text")).alias("t")), F.lit(1).cast("long")
+    if large:
+        table = F.broadcast(docs.sparkSession.createDataFrame(large, "sketch long, size long"))
+        counted = counted.select("t", *(k.alias(f"k{i}") for i, k in enumerate(sketches(F.col("t")))))
+        for i in range(SKETCHES):
+            counted = counted.join(table.select(F.col("sketch").alias(f"k{i}"), F.col("size").alias(f"size{i}")), f"k{i}", "left")
+        size = F.coalesce(F.greatest(*(F.col(f"size{i}") for i in range(SKETCHES))), F.lit(1))
+    share = F.greatest(F.lit(1), F.floor(F.lit(ONE) / size)).cast("long")
+    counts = counted.select(share.alias("share"), F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("share").alias("shares"))
+    band = (F.col("df") >= max(2, math.ceil(low * n))) & (F.col("shares") <= max(2, math.floor(high * n)) * ONE)
+    return [r[0] for r in counts.where(band).select("term").collect()]
 
 
 def members(band: list[int]) -> tuple[str, int]:

@@ -159,6 +159,28 @@ def test_fingerprints(spark):
     assert fingerprint.i_match(docs(spark, ["one"])).first()["near_next"] == 1
 
 
+def test_fingerprints_of_a_large_group(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    weights = [1 / (i + 5) for i in range(4000)]
+
+    def text():
+        return rng.choices(vocabulary, weights, k=150)
+
+    for own in (False, True):  # the group's words are everyone's, or its own
+        base = [f"own{i}" for i in range(150)] if own else text()
+        texts = []
+        for _ in range(200):
+            copy = list(base)
+            for _ in range(3):
+                copy[rng.randrange(150)] = rng.choices(vocabulary, weights)[0]
+            texts.append(" ".join(copy))
+        texts += [" ".join(text()) for _ in range(400)]
+        near = {r["doc_id"]: r["near_next"] for r in fingerprint.i_match(docs(spark, texts)).collect()}
+        assert sum(near[i] for i in range(1, 200)) / 199 > 0.6
+        assert sum(near[i] for i in range(201, 600)) / 399 < 0.1
+
+
 def test_warc(spark):
     big = "é<p>x</p>" * 20000
     pages = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 40)]
