@@ -3,7 +3,7 @@
 The attention model gives the class of a word's first subword; the word is then read from a memory of the most
 frequent words, by their discounted counts in that class, or spelt in subwords with the discounts' mass; the
 probability is the sum of both ways.  Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights
-are trained where the texts are, a window of every such text, and averaged after each round.  The most frequent
+are trained where the texts are, on overlapping windows over the whole of every such text, and averaged after each round.  The most frequent
 words' counts go to every executor, a bounded list; the rest of the words are joined with their counts.
 """
 
@@ -93,20 +93,27 @@ _CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 
 
 def _windows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """A window of each text, at a place that its id decides: ids of WINDOW + 1 positions, short ones padded with -1."""
-    bpe, w = word_bpe(), attention.WINDOW
+    """The windows of each whole text, as they are scored: the number of ids that stand in the window before as well,
+    and WINDOW + 1 ids, the last window padded with -1."""
+    bpe, w, stride = word_bpe(), attention.WINDOW, attention.WINDOW - attention.OVERLAP
     for big in source:
-        for batch in slices(big, "text"):
+        for batch in slices(big, "text", 1 << 20):
             for doc_id, text in zip(*columns(batch, "doc_id", "text")):
-                words = word_bytes(text)
-                h = zlib.crc32(b"window %d" % doc_id)
-                # a third of the windows begin with the text
-                at = 0 if h % 3 == 0 or len(words) <= w else (h >> 4) % (len(words) - w // 2)
-                ids = np.frombuffer(b"".join(bpe.encode(words[at : at + w])), "<u4").astype(np.int64)
-                whole = at + w >= len(words)
-                seq = np.concatenate([[bpe.size] * (at == 0), ids, [bpe.size + 1] * whole]).astype(np.int32)[: w + 1]
-                if len(seq) > 1:
-                    yield (h & 0x7FFFFFFF, np.concatenate([seq, np.full(w + 1 - len(seq), -1, np.int32)]).tobytes())
+                ids = np.frombuffer(b"".join(bpe.encode(word_bytes(text))), "<u4").astype(np.int32)
+                n = len(ids) + 1  # ids to learn, the text's end among them
+                many = 1 + max(n - w + stride - 1, 0) // stride
+                seq = np.full((many - 1) * stride + w + 1, -1, np.int32)
+                seq[: n + 1] = np.concatenate([[bpe.size], ids, [bpe.size + 1]])
+                for k in range(many):
+                    again = np.int32(attention.OVERLAP if k else 0)
+                    yield zlib.crc32(b"window %d %d" % (doc_id, k)), again.tobytes() + seq[k * stride : k * stride + w + 1].tobytes()
+
+
+def _ids(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of windows, and which of all but the first are to be learned there."""
+    table = np.frombuffer(b"".join(held), np.int32).reshape(len(held), -1)
+    seq = table[:, 1:]
+    return seq, (seq[:, 1:] >= 0) & (np.arange(seq.shape[1] - 1) >= table[:, :1])
 
 
 def _company(rank: np.ndarray):
@@ -117,7 +124,7 @@ def _company(rank: np.ndarray):
         for batch in source:
             held = columns(batch, "ids")[0]
             for i in range(0, len(held), 256):
-                seq = np.frombuffer(b"".join(held[i : i + 256]), np.int32).reshape(-1, attention.WINDOW + 1)
+                seq = _ids(held[i : i + 256])[0]
                 place = np.where(seq >= 0, rank[np.maximum(seq, 0)], attention.TOP)
                 at = np.arange(len(seq))[:, None] * (attention.TOP + 1) + np.minimum(place, attention.TOP)
                 bags = np.bincount(at.ravel(), minlength=len(seq) * (attention.TOP + 1)).reshape(len(seq), -1)[:, :-1].astype(np.float32)
@@ -136,9 +143,9 @@ def _train(model: bytes, lex: attention.Lexicon, rate: float):
         adam, n, held = attention.Adam(p, rate), 0, []
 
         def learn(some: list[bytes]) -> None:
-            seq = np.frombuffer(b"".join(some), np.int32).reshape(len(some), -1)
+            seq, wanted = _ids(some)
             real = np.maximum(seq, 0)
-            _, g = attention.gradient(p, lex.column(real[:, :-1]), lex.prior[lex.row(real[:, :-1])], lex.klass[real[:, 1:]].astype(np.int64), (seq[:, 1:] >= 0).astype(np.float32))
+            _, g = attention.gradient(p, lex.column(real[:, :-1]), lex.prior[lex.row(real[:, :-1])], lex.klass[real[:, 1:]].astype(np.int64), wanted.astype(np.float32))
             adam.step(g)
 
         for batch in source:

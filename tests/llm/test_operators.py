@@ -260,6 +260,18 @@ def test_attention_gradient():
         assert (up - attention.gradient(q, x, prior, y, weight)[0]) / 2e-4 == pytest.approx(g[name][at], rel=0.05, abs=1e-5)
 
 
+def test_lm_windows():
+    import pyarrow as pa
+
+    bpe, texts = lm.word_bpe(), ["", "one", "é " * 39, *(" ".join(f"word{i} red" for i in range(n)) for n in (10, 16, 20, 24, 700))]
+    rows = [(i, ids) for i, t in enumerate(texts) for _, ids in lm._windows(iter([pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]})]))]
+    for i, t in enumerate(texts):
+        ids = np.frombuffer(b"".join(bpe.encode(lm.word_bytes(t.encode()))), "<u4").tolist()
+        seq, wanted = lm._ids([x for k, x in rows if k == i])
+        assert seq.shape[1] == attention.WINDOW + 1 and seq[0, 0] == bpe.size
+        assert seq[:, 1:][wanted].tolist() == [*ids, bpe.size + 1]  # every id and the end, once and in order
+
+
 def test_lm(spark):
     import math
     import zlib
