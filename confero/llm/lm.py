@@ -1,8 +1,9 @@
 """Language-model scoring of whole texts: an add-0.1 unigram model of words as a base, and the attention model.
 
-The attention model gives the class of a word's first subword; the word is then read from a memory of the most
-frequent words, by their discounted counts in that class, or spelt in subwords with the discounts' mass; the
-probability is the sum of both ways.  Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights
+The attention model gives the class of a word's first subword; the word is then read from a memory of all
+learned words, by their discounted counts in that class, or spelt in subwords with the discounts' mass; the
+probability is the sum of both ways.  Rarer words are remembered as well: their part is added where they are joined
+with their counts.  Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights
 are trained where the texts are, on overlapping windows over the whole of every such text, and averaged after each round.  The most frequent
 words' counts go to every executor, a bounded list; the rest of the words are joined with their counts.
 """
@@ -19,7 +20,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
@@ -29,7 +30,7 @@ from .subwords import word_bpe
 #: Words whose counts are sent to the executors; the bound of that list.
 HEAD = 100_000
 END = b""
-#: What each count in the memory of frequent words leaves to spelling.
+#: What each count in the memory of words leaves to spelling.
 DISCOUNT = 0.75
 ROUNDS = 2
 
@@ -69,7 +70,7 @@ def _subword_counts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _pair_counts(lex: attention.Lexicon):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         bpe, width = word_bpe(), attention.TOP + attention.CLASSES
-        found = np.zeros((attention.ROWS + 1) * width, np.float64)
+        found = np.zeros((attention.ROWS + 2) * width, np.float64)
         for batch in source:
             words, n = columns(batch, "word", "n")
             ids = bpe.encode(words)
@@ -80,9 +81,10 @@ def _pair_counts(lex: attention.Lexicon):
             row = np.concatenate([[attention.ROWS - 1], lex.row(flat)[:-1]])  # every word's last piece is an end
             # spelling is for rare words: each different word counts once, and beginnings by their words' counts as well
             column = lex.column(flat)
-            found[:-width] += np.bincount(row * width + column, minlength=attention.ROWS * width)
+            found[: -2 * width] += np.bincount(row * width + column, minlength=attention.ROWS * width)
             begin = row == attention.ROWS - 1
-            found[-width:] += np.bincount(column[begin], np.repeat(n, lens)[begin], width)
+            found[-2 * width : -width] += np.bincount(column[begin], np.repeat(n, lens)[begin], width)
+            found[-width:] += np.bincount(column[begin], minlength=width)
         for i in np.flatnonzero(found).tolist():
             yield i, int(found[i])
 
@@ -185,9 +187,9 @@ def _summed(windows: DataFrame, run) -> tuple[int, dict[str, np.ndarray]]:
     return sum(r["n"] for r in sums), {k: sum(p[k] for p in parts) for k in (parts[0] if parts else ())}
 
 
-def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str, np.ndarray], attention.Lexicon, np.ndarray]:
-    """The attention model of the learning texts (doc_id, text) and their word counts; the number of words by the
-    class that they begin with."""
+def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str, np.ndarray], attention.Lexicon, np.ndarray, np.ndarray]:
+    """The attention model of the learning texts (doc_id, text) and their word counts; by the class that words begin
+    with their number, and the number of different ones."""
     bpe = word_bpe()
     counts = np.zeros(bpe.size + 2)
     got = _sum_partials(words.mapInArrow(lambda s: batches(_subword_counts(s), _CELL, 20000), "cell long, n long"), "", "cell").collect()
@@ -197,14 +199,18 @@ def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str
     company = _company(attention.ranks(counts))
     company = _summed(windows, company)[1].get("company", np.zeros((attention.TOP, attention.COMPANY)))
     lex = attention.lexicon(counts, np.concatenate([bpe.ends, [True, True]]), attention.groups(company))
-    pairs = np.zeros((attention.ROWS + 1, attention.TOP + attention.CLASSES), np.float32)
+    pairs = np.zeros((attention.ROWS + 2, attention.TOP + attention.CLASSES), np.float32)
     got = _sum_partials(words.mapInArrow(lambda s: batches(_pair_counts(lex)(s), _CELL, 20000), "cell long, n long"), "", "cell").toPandas()
     # the text's end comes where a word could begin
     pairs.ravel()[got["cell"].to_numpy()] = got["n"].to_numpy()
-    pairs[-1, lex.column(np.array([lex.end]))[0]] = counts[-1]
+    pairs[-2:, lex.column(np.array([lex.end]))[0]] += np.array([counts[-1], counts[-1] > 0], np.float32)
+    pairs, kinds = pairs[:-1], pairs[-1]
+
+    def by_class(row: np.ndarray) -> np.ndarray:
+        return np.bincount(lex.klass, np.where(lex.top < attention.TOP, row[np.minimum(lex.top, attention.TOP - 1)], 0), attention.CLASSES) + row[attention.TOP :]
+
     attention.conditional(lex, pairs, counts)
-    begun = np.bincount(lex.klass, np.where(lex.top < attention.TOP, pairs[-1, np.minimum(lex.top, attention.TOP - 1)], 0), attention.CLASSES)
-    begun += pairs[-1, attention.TOP :]
+    begun, kinds = by_class(pairs[-1]), by_class(kinds)
     p = attention.initial()
     small = attention.Lexicon(lex.top, lex.klass, lex.inside, lex.ends, lex.prior)
     for turn in range(ROUNDS):
@@ -212,21 +218,21 @@ def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str
         if n:
             p = {k: v / np.float32(n) for k, v in total.items()}
     scratch.drop("windows")
-    return p, lex, begun
+    return p, lex, begun, kinds
 
 
-def _memory(words: list[bytes], n: np.ndarray, lex: attention.Lexicon, begun: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of frequent words in the class that they begin with, and what each class leaves to spelling."""
+def _memory(words: list[bytes], n: np.ndarray, lex: attention.Lexicon, begun: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-probabilities of frequent words in the class that they begin with, 0 counts at the end; what each class
+    leaves to spelling, and what a count weighs in it."""
     ids = word_bpe().encode(words)
     first = np.array([int.from_bytes(i[:4], "little") if i else lex.end if w == END else -1 for w, i in zip(words, ids)], np.int64)
-    klass, some = lex.klass[first], first >= 0
-    kept = np.where(some, n - DISCOUNT, 0.0)
-    total = np.maximum(begun, np.bincount(klass, kept, attention.CLASSES)) + 1
-    memory = np.append(np.log(np.maximum(kept / total[klass], 1e-300)), -1e9)
-    return memory, np.log(1 - np.bincount(klass, kept, attention.CLASSES) / total)
+    kept = np.where(first >= 0, n - DISCOUNT, 0.0)
+    total = begun + 1
+    memory = np.append(np.log(np.maximum(kept / total[lex.klass[first]], 1e-300)), -1e9)
+    return memory, np.log(1 - np.maximum(begun - DISCOUNT * kinds, 0) / total), -np.log(total)
 
 
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int32()))])
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("gains", pa.list_(pa.list_(pa.float64())))])
 
 
 def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
@@ -243,18 +249,18 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
     words = scratch.save(_sum_partials(learn.mapInArrow(lambda s: batches(_count_words(s), _WORDS, 20000), "word binary, n long"), "", "word"), "words")
     n_train, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     frequent = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(head).collect()}
-    p, lex, begun = train(learn, words, scratch)
-    shared = spark.sparkContext.broadcast((frequent, p, lex, begun))
+    p, lex, begun, different = train(learn, words, scratch)
+    shared = spark.sparkContext.broadcast((frequent, p, lex, begun, different))
     below = float(np.log10(n_train + 0.1 * (kinds + 1)))
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        counts, weights, lexicon, begun = shared.value
+        counts, weights, lexicon, begun, different = shared.value
         index = {w: i for i, w in enumerate(counts)}
         n = np.array([*counts.values(), 1], float)  # the last is for words outside the list
         base = np.log10(n + 0.1)
         base[-1] = 0.0
         scorer, bpe = attention.Scorer(weights, lexicon), word_bpe()
-        memory, spelling = _memory(list(counts), n[:-1], lexicon, begun)
+        memory, spelling, unit = _memory(list(counts), n[:-1], lexicon, begun, different)
         row = TaskContext.get().partitionId() << 36
         for big in source:
             for batch in slices(big, "text", 1 << 20):
@@ -275,27 +281,39 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
                 lens[last] += 1
                 stop = np.cumsum(lens)
                 begin = np.minimum(stop - lens, len(ended) - 1)
-                spelt = like[stop] - like[stop - lens] + np.where(lens > 0, spelling[lexicon.klass[ended[begin]]], math.log(0.5))
-                like = np.logaddexp(spelt, np.where(lens > 0, of_class[begin], -1e9) + memory[at]) / math.log(10)
+                klass = lexicon.klass[ended[begin]]
+                spelt = like[stop] - like[stop - lens] + np.where(lens > 0, spelling[klass], math.log(0.5))
+                recalled = np.where(lens > 0, of_class[begin], -1e9)
+                like = np.logaddexp(spelt, recalled + memory[at]) / math.log(10)
                 scores, bases, known = (np.add.reduceat(x, first).tolist() for x in (like, base[at], (at >= 0).astype(np.int64)))
                 outside = np.flatnonzero(at < 0)
+                gain = (recalled + unit[klass] - spelt)[outside].tolist()  # of one count in memory over spelling
                 cuts = np.searchsorted(outside, [*first, len(whole)]).tolist()
                 outside = outside.tolist()
                 for i, (doc_id, h, n_own) in enumerate(zip(ids, held, n_words.tolist())):
-                    rare = Counter(whole[k] for k in outside[cuts[i] : cuts[i + 1]])
+                    rare: dict[bytes, list[float]] = {}
+                    for k in range(cuts[i], cuts[i + 1]):
+                        rare.setdefault(whole[outside[k]], []).append(gain[k])
                     yield row, doc_id, h, n_own, known[i], bases[i], scores[i], list(rare), list(rare.values())
                     row += 1
 
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<int>"
+    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, gains array<array<double>>"
     scored = scratch.save(docs.mapInArrow(lambda s: batches(rows(s), _SCORED, 1000), ddl), "scored")
     # words outside the frequent list: none of them is in very many texts, or it would be in the list
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    found = rare.join(words, "word", "left").select("row", (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("base_more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known_more"))
-    more = found.groupBy("row").agg(F.sum("base_more").alias("base_more"), F.sum("known_more").alias("known_more"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "gains")).alias("r")).select("row", F.col("r.rare").alias("word"), F.size("r.gains").alias("times"), F.col("r.gains").alias("gains"))
+
+    def added(g: Column) -> Column:
+        """Log of what spelling and memory give together over what spelling gives."""
+        g = g + F.log(F.col("n") - DISCOUNT)
+        return F.greatest(g, F.lit(0.0)) + F.log1p(F.exp(-F.abs(g)))
+
+    score = F.when(F.col("n").isNotNull(), F.aggregate("gains", F.lit(0.0), lambda s, g: s + added(g)) / math.log(10)).otherwise(0.0)
+    found = rare.join(words, "word", "left").select("row", score.alias("score_more"), (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("base_more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known_more"))
+    more = found.groupBy("row").agg(F.sum("base_more").alias("base_more"), F.sum("known_more").alias("known_more"), F.sum("score_more").alias("score_more"))
     out = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(more, "row", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("known_more", F.lit(0))).cast("long").alias("n_known"), F.lit(n_train).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0)) - F.col("n_tokens") * below).alias("base_score"), (F.col("score") + F.coalesce("score_more", F.lit(0.0))).alias("score"),
     )
 
 

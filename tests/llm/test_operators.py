@@ -289,3 +289,10 @@ def test_lm(spark):
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
         assert r["score"] < 0
     assert lm.score_texts(docs(spark, texts).limit(0)).count() == 0
+
+
+def test_lm_remembers_rare_words(spark):
+    rng = random.Random(17)
+    texts = [*ODD, *(" ".join(rng.choice(["red", "blue", "house", f"u{i % 40}", f"v{i}"]) for _ in range(rng.randint(1, 60))) for i in range(120))]
+    few, many = ({r["doc_id"]: r["score"] for r in lm.score_texts(docs(spark, texts), head=head).collect()} for head in (3, 10_000))
+    assert few == {i: pytest.approx(s, abs=1e-3) for i, s in many.items()}  # the list's bound changes no score
