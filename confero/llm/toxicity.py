@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary texts, spell words from their beginning, given the word before where that
-pair is frequent; both back off to the same continuation counts of letters.  Counts of one are discounted whole,
+Two models, of toxic and of ordinary texts, spell words to their end, given the word's beginning or, further on, the
+letters before, and given the word before where that pair is frequent; both back off to the same continuation counts of letters.  Counts of one are discounted whole,
 so that rare expressions are left to what the classes share.  A text's evidence is the difference of the length-normalised log-likelihoods, over the
 text and over its most suspicious passages; a logistic curve fitted on texts that the counts have not seen turns
 it into a score.
@@ -25,15 +25,21 @@ from .labelled import logistic, sample
 #: Labelled rows learned from, at most.
 MOST = 8000
 PASSAGE = 12
-#: Letters of a word that are looked at, and how often a beginning must occur to count by itself.
+#: Bytes up to which a letter is given the whole beginning of its word, and letters further on so many less one;
+#: how often a beginning, or a letter with those before it, must occur to count by itself.
 DEPTH, RARE = 10, 4
 
 
+def _inside(word: bytes) -> list[bytes]:
+    """Letters beyond the beginning with those before them, marked by a blank."""
+    return [b" " + word[i - DEPTH : i] for i in range(DEPTH + 1, len(word) + 1)]
+
+
 class KneserNey:
-    """Log-likelihood ratios of words, spelt letter by letter from their beginning, and of words after a word."""
+    """Log-likelihood ratios of words, spelt letter by letter to their end, and of words after a word."""
 
     def __init__(self) -> None:
-        self.step: dict[bytes, float] = {}  # a beginning of a word: ratio of its last letter, given the letters before
+        self.step: dict[bytes, float] = {}  # a beginning of a word, or letters inside: ratio of the last letter, given the letters before
         self.pair: dict[tuple[bytes, bytes], float] = {}
         self.weights = np.zeros(4)
         self.known: dict[bytes, float] = {}
@@ -48,6 +54,7 @@ class KneserNey:
             for w in set(words):
                 w += b"$"
                 begin[y].update([w[:i] for i in range(min(len(w), DEPTH) + 1)])
+            begin[y].update({g for w in set(words) if len(w) >= DEPTH for g in _inside(w + b"$")})
             two[y].update(set(zip(words, words[1:])))
         if not begin[0][b""] or not begin[1][b""]:
             return
@@ -56,6 +63,7 @@ class KneserNey:
             return 1.0 if n < 2 else 0.75
 
         left: tuple[Counter, Counter] = (Counter(), Counter())  # mass for the shared order, by what stands before
+        context: tuple[Counter, Counter] = (Counter(), Counter())  # letters inside, by what stands before
         cont: Counter = Counter()  # shared: what a letter follows, by the two letters before it
         for w in begin[0].keys() | begin[1].keys():
             if w:
@@ -64,10 +72,12 @@ class KneserNey:
                 for c in (0, 1):
                     if n := begin[c][w]:
                         left[c][w[:-1]] += discount(n)
+                        if w[:1] == b" ":
+                            context[c][w[:-1]] += n
 
         def p(c: int, w: bytes) -> float:
             shared = (cont[w[-3:]] + 0.5) / (cont[w[-3:-1], 0] + 128)
-            before = begin[c][w[:-1]]
+            before = (context if w[:1] == b" " else begin)[c][w[:-1]]
             if not before:
                 return shared
             n = begin[c][w]
@@ -101,6 +111,8 @@ class KneserNey:
                 if (s := step.get(w[:i])) is None:
                     break
                 r += s
+            if len(w) > DEPTH:
+                r += sum(step.get(g, 0.0) for g in _inside(w))
             self.known[word] = r
         return r
 

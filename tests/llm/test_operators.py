@@ -234,6 +234,14 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(d, l.limit(0)).count() == 402 and toxicity.score_toxicity(d.limit(0), l).count() == 0
 
 
+def test_toxicity_of_word_ends():
+    texts = [(f"x{i} understanding{'scum' if i % 4 == 0 else 'well'} y{i} {'中文字' * 9}{'坏人' if i % 4 == 0 else '好人'}中{'文' * (i % 5)}".encode(), int(i % 4 == 0)) for i in range(200)]
+    model = toxicity.KneserNey()
+    model.fit_counts(iter(texts))
+    for bad, good in ((b"understandingscum", b"understandingwell"), (("中文字" * 9 + "坏人中").encode(), ("中文字" * 9 + "好人中").encode())):
+        assert model.ratio(bad) > 1 > model.ratio(good)
+
+
 def test_quality(spark):
     d, l = labelled(spark)
     got = {r["doc_id"]: r for r in quality.score_quality(d, l).collect()}
