@@ -52,5 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learned models, MinHash and BPE are not SQL; tests hold the stages against plain versions.
+#: Learned models, MinHash and BPE are not SQL; the pipeline test compares columns and row counts only, a plain version is missing.
 ORACLE_SQL = None
