@@ -25,12 +25,11 @@ def tokenize(c: Column) -> Column:
     """Words of an address, digits and letters apart, abbreviations written out, stop words dropped."""
     s = F.regexp_replace(lower_plain(F.coalesce(c, F.lit(""))), r"[#'\"()\[\]{}\-/\\.,;:]", " ")
     s = F.regexp_replace(F.regexp_replace(s, "([0-9])([a-z])", "$1 $2"), "([a-z])([0-9])", "$1 $2")
-    short = {w: full for table in (STREETS, COMPLEMENTS) for full, words in table.items() for w in words}
 
     def full(x: Column) -> Column:
         out = F.when(x.isin(*NUMBERS), "numero").when(x.isin(*WITHOUT_NUMBER), "semnumero")
-        for word in dict.fromkeys(short.values()):
-            out = out.when(x.isin(*(w for w, f in short.items() if f == word)), word)
+        for word, short in (STREETS | COMPLEMENTS).items():
+            out = out.when(x.isin(*short), word) if short else out
         return out.otherwise(x)
 
     words = F.filter(F.split(s, r"(?U)\s+"), lambda x: x != "")
@@ -64,19 +63,44 @@ def parts(t: Column) -> Column:
     return let(first(t, lambda x: digits(x) | x.isin("numero", "semnumero", *COMPLEMENTS)), cut)
 
 
+#: Places of the left string that stand in one long: sums of two such words and a carry stay positive.
+_PLACES = 62
+
+
 def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two strings: the rows of the usual table, one after another."""
-    right = F.filter(F.split(b, ""), lambda x: x != "")
-
-    def row(before: Column, x: Column) -> Column:
-        zero = F.array(F.lit(0))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(right)), zero,
-            lambda now, j: F.concat(now, F.array(F.when(F.get(right, j - 1) == x, F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(now, -1))))),
-        )
-
-    table = F.aggregate(F.filter(F.split(a, ""), lambda x: x != ""), F.array_repeat(F.lit(0), F.size(right) + 1), row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(table, -1))
+    """Length of the longest common subsequence of two strings, in bit-parallel form.
+
+    For each character of b, the places where a holds it meet a row of bits in one addition; a 0 in the last row is a
+    character in common.  The row of a long string is several longs, with a carry from one to the next.
+    """
+    full = F.lit((1 << _PLACES) - 1)
+    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+
+    def masks(v: Column) -> Column:
+        left = F.array_distinct(v["left"])
+        of = lambda x, w: F.aggregate(F.slice(v["left"], w * _PLACES + 1, F.lit(_PLACES)), F.struct(F.lit(0).cast("long").alias("m"), F.lit(1).cast("long").alias("bit")), lambda s, y: F.struct(F.when(y == x, s["m"].bitwiseOR(s["bit"])).otherwise(s["m"]).alias("m"), (s["bit"] * 2).alias("bit")))["m"]
+        rows = F.transform(left, lambda x: F.transform(v["words"], lambda w: of(x, w)))
+        return let(F.struct(left.alias("letters"), rows.alias("masks"), v["right"].alias("right"), v["words"].alias("words")), rolled)
+
+    def rolled(v: Column) -> Column:
+        def step(row: Column, y: Column) -> Column:
+            at = F.array_position(v["letters"], y).cast("int")
+            return F.when(at == 0, row).otherwise(let(F.element_at(v["masks"], at), lambda m: added(row, m)))
+
+        def added(row: Column, m: Column) -> Column:
+            def word(s: Column, w: Column) -> Column:
+                now = F.element_at(row, w + 1)
+                both = now.bitwiseAND(F.element_at(m, w + 1))
+                total = now + both + s["carry"]
+                return F.struct(F.concat(s["row"], F.array(total.bitwiseAND(full).bitwiseOR(now - both))).alias("row"), F.shiftright(total, _PLACES).alias("carry"))
+
+            return F.aggregate(v["words"], F.struct(F.array().cast("array<bigint>").alias("row"), F.lit(0).cast("long").alias("carry")), word)["row"]
+
+        ones = F.transform(v["words"], lambda w: full)
+        return F.aggregate(F.aggregate(v["right"], ones, step), F.lit(0), lambda n, w: n + (_PLACES - F.bit_count(w)).cast("int"))
+
+    parts_ = F.struct(letters(a).alias("left"), letters(b).alias("right"), F.sequence(F.lit(0), F.floor((F.length(a) - 1) / _PLACES).cast("int")).alias("words"))
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(let(parts_, masks))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:

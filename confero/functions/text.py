@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -14,17 +15,23 @@ ENDINGS = ("junior", "jr", "neto", "bisneto", "filho", "filha", "sobrinha", "sob
 MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 #: Letters that become several, or that have no decomposition (fixed values).
 SEVERAL = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ŋ": "ng", "°": "deg", "º": "o", "ª": "a"}
-_SINGLE = {"ø": "o", "đ": "d", "ł": "l", "ı": "i", "ð": "d", "ħ": "h", "ŧ": "t", "ĸ": "k", "ſ": "s"}
+_SINGLE = {"ı": "i", "ð": "d", "ĸ": "k", "ſ": "s", "²": "2", "³": "3", "¹": "1", "–": "-", "—": "-", "’": "'", "‘": "'", "“": '"', "”": '"'}
+SEVERAL |= {"½": "1/2", "¼": "1/4", "¾": "3/4", "№": "no"}
 
 
 def accent_table() -> tuple[str, str]:
-    """Latin letters with marks and their bare forms: decomposition of U+00C0 to U+017F."""
+    """Latin letters with marks, in all blocks up to U+024F and in U+1E00 to U+1EFF, and their bare forms; blanks of any
+    kind and a plain blank; marks that stand by themselves, which have no counterpart and are dropped."""
     pairs = dict(_SINGLE)
-    for code in range(0xC0, 0x180):
-        bare = unicodedata.normalize("NFD", chr(code).lower())[0]
-        if bare.isascii() and bare.isalpha() and chr(code) not in SEVERAL:
-            pairs[chr(code)] = bare
-    return "".join(pairs), "".join(pairs.values())
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        letter = chr(code).lower()
+        bare = unicodedata.normalize("NFD", letter)[0]
+        if not bare.isascii() and (named := re.match("LATIN SMALL LETTER ([A-Z]) WITH ", unicodedata.name(letter[0], ""))):
+            bare = named[1].lower()
+        if bare.isascii() and bare.isalpha() and len(letter) == 1 and letter not in SEVERAL:
+            pairs[letter] = bare
+    pairs |= {chr(code): " " for code in range(0x3001) if chr(code).isspace() and chr(code) != " "}
+    return "".join(pairs) + "".join(map(chr, range(0x300, 0x370))), "".join(pairs.values())
 
 
 def missing_to_empty(c: Column) -> Column:
@@ -32,11 +39,11 @@ def missing_to_empty(c: Column) -> Column:
 
 
 def lower_plain(c: Column) -> Column:
-    """Trimmed, lower case, without marks on Latin letters."""
-    c = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    """Trimmed, lower case, without marks on Latin letters, every kind of blank a plain one."""
+    c = F.lower(c)
     for a, b in SEVERAL.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, *accent_table())
+    return F.trim(F.translate(c, *accent_table()))
 
 
 def tokens(c: Column) -> Column:

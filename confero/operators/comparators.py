@@ -42,36 +42,48 @@ def _alike(a: Column, b: Column) -> Column:
     return same[0] + same[1] + same[2] + same[3] >= 3
 
 
-def _words(a: Column, b: Column, rare: Column | None, common: Column | None, initials: bool, dated: Column | None) -> Column:
-    n = F.size(a)
-    share = lambda k: k / n
-    first, last = F.get(a, F.lit(0)) == F.get(b, F.lit(0)), F.element_at(a, -1) == F.element_at(b, -1)
-    equal = share(F.size(F.filter(a, lambda x: F.array_contains(b, x))))
-    codes = F.transform(b, soundex4)
-    near = F.lit(0.8) * share(F.size(F.filter(F.transform(a, soundex4), lambda x: F.exists(codes, lambda y: _alike(x, y)))))
+def _words(l: Column, r: Column, rare: Column | None, common: Column | None, initials: bool, dated: Column | None) -> Column:
+    """Each ratio is worked out once, and then both shown and summed."""
+    counted = rare is not None and common is not None
+    blank = F.lit(False) if dated is None else dated
+    tokens_ = F.struct(tokens(l).alias("a"), tokens(r).alias("b"), *([rare.alias("rare"), common.alias("common"), blank.alias("dated")] if counted else []))
     begins = lambda s, t: F.size(F.filter(s, lambda x: (F.length(x) == 1) & F.exists(t, lambda y: F.startswith(y, x))))
-    short = F.lit(0.5) * share(begins(a, b) + begins(b, a)) if initials else F.lit(0.0)
-    if rare is None or common is None:
-        few, many, few_s, many_s = F.lit(0.0), F.lit(0.0), F.lit(ZERO), F.lit(ZERO)
-    else:
-        few, many = share(rare), -(common / n)
-        few_s, many_s = two_places(few), two_places(many)
-        if dated is not None:
-            few, many = F.when(dated, F.lit(0.0)).otherwise(few), F.when(dated, F.lit(0.0)).otherwise(many)
-            few_s, many_s = F.when(dated, ZERO).otherwise(few_s), F.when(dated, ZERO).otherwise(many_s)
-    points = [flag(first), flag(last), two_places(equal), few_s, many_s, two_places(near), two_places(short) if initials else F.lit(ZERO)]
-    return F.when((n > 0) & (F.size(b) > 0), _result(points, _sum([_one(first), _one(last), equal, few, many, near, short]))).otherwise(zeros(7))
+
+    def coded(v: Column) -> Column:
+        return let(F.struct(v.alias("v"), F.transform(v["a"], soundex4).alias("x"), F.transform(v["b"], soundex4).alias("y")), measured)
+
+    def measured(c: Column) -> Column:
+        v, x, y = c["v"], c["x"], c["y"]
+        a, b, n = v["a"], v["b"], F.size(v["a"])
+        values = {
+            "first": F.get(a, F.lit(0)) == F.get(b, F.lit(0)), "last": F.element_at(a, -1) == F.element_at(b, -1), "equal": F.size(F.filter(a, lambda w: F.array_contains(b, w))) / n,
+            "near": F.lit(0.8) * (F.size(F.filter(x, lambda p: F.exists(y, lambda q: _alike(p, q)))) / n), "short": F.lit(0.5) * ((begins(a, b) + begins(b, a)) / n) if initials else F.lit(0.0),
+        }
+        if counted:
+            values |= {"few": v["rare"] / n, "many": -(v["common"] / n), "dated": v["dated"]}
+        return F.when((n > 0) & (F.size(b) > 0), let(F.struct(*(c.alias(k) for k, c in values.items())), shown)).otherwise(zeros(7))
+
+    def shown(v: Column) -> Column:
+        if counted:
+            few, many = (F.when(v["dated"], F.lit(0.0)).otherwise(v[k]) for k in ("few", "many"))
+            few_s, many_s = (F.when(v["dated"], ZERO).otherwise(two_places(v[k])) for k in ("few", "many"))
+        else:
+            few, many, few_s, many_s = F.lit(0.0), F.lit(0.0), F.lit(ZERO), F.lit(ZERO)
+        points = [flag(v["first"]), flag(v["last"]), two_places(v["equal"]), few_s, many_s, two_places(v["near"]), two_places(v["short"]) if initials else F.lit(ZERO)]
+        return _result(points, _sum([_one(v["first"]), _one(v["last"]), v["equal"], few, many, v["near"], v["short"]]))
+
+    return let(tokens_, coded)
 
 
 def name(l: Column, r: Column, rare: Column | None = None, common: Column | None = None, initials: bool = True) -> Column:
     """Personal names; without counts the two frequency criteria are 0,0."""
-    return _words(tokens(l), tokens(r), rare, common, initials, None)
+    return _words(l, r, rare, common, initials, None)
 
 
 def text(l: Column, r: Column, rare: Column, common: Column) -> Column:
     """Free text; values of one token of eight digits on both sides get no frequency criteria."""
     dated = l.rlike("^[0-9]{8}$") & r.rlike("^[0-9]{8}$")
-    return _words(tokens(l), tokens(r), rare, common, True, dated)
+    return _words(l, r, rare, common, True, dated)
 
 
 def date(l: Column, r: Column) -> Column:
@@ -100,10 +112,14 @@ def locality(l: Column, r: Column) -> Column:
     return F.when((F.length(l) == 6) & (F.length(r) == 6), _result([flag(a == b), tenth(state), flag(x == y), tenth(place)], nota)).otherwise(zeros(4))
 
 
+#: Numbers as written: 27 digits before the mark and 10 after it.
+NUMBER = "decimal(37,10)"
+
+
 def parse_number(c: Column) -> Column:
-    """A number as written in either convention, as decimal(18,6); NULL if it is none."""
+    """A number as written in either convention; NULL if it is none, or has more than 27 digits before the mark."""
     s = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
-    s = F.translate(F.translate(s, "−", "-"), " ", "")
+    s = F.translate(s, "−\u00a0", "-")
     sign = F.when(F.startswith(s, F.lit("-")), "-").otherwise("")
     body = F.translate(F.regexp_replace(s, "^[+-]", ""), " _'", "")
     last_comma, last_dot = F.length(body) - F.instr(F.reverse(body), ","), F.length(body) - F.instr(F.reverse(body), ".")
@@ -111,26 +127,34 @@ def parse_number(c: Column) -> Column:
     body = F.when(has_comma & has_dot, F.when(last_comma > last_dot, F.translate(F.translate(body, ".", ""), ",", ".")).otherwise(F.translate(body, ",", ""))).when(has_comma, F.translate(body, ",", ".")).otherwise(body)
     body = F.regexp_replace(body, r"\.(?=.*\.)", "")
     plain = body.rlike(r"^([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")
-    return F.when(plain, F.concat(sign, body).try_cast("decimal(18,6)"))
+    return F.when(plain, F.concat(sign, body).try_cast(NUMBER))
 
 
 def number(l: Column, r: Column) -> Column:
-    """Numbers as written: equal, near in absolute and in relative terms, equal when rounded."""
-    dec = lambda c: c.cast("decimal(18,6)")
+    """Numbers as written: equal, near in absolute and in relative terms, equal when rounded.
+
+    They are compared and subtracted exactly; only for a quotient are both its sides scaled down to twelve digits
+    before the mark."""
+    dec = lambda c: c.cast(NUMBER)
+    one = F.expr("1BD")
+
+    def near(diff: Column, limit: Column) -> Column:
+        """1 - diff / limit, no less than 0."""
+        small = lambda c: F.when(limit < F.expr("1e11BD"), c).when(limit < F.expr("1e19BD"), dec(c * F.expr("0.00000001BD"))).otherwise(dec(c * F.expr("0.0000000000000001BD"))).cast("decimal(18,6)")
+        return (one - F.least(small(F.least(diff, limit)) / small(limit), one)).cast("double")
 
     def scored(v: Column) -> Column:
         a, b, diff, scale, whole = (v[x] for x in ("a", "b", "diff", "scale", "whole"))
-        tolerance = dec(F.when(whole, F.lit(5).cast("decimal(18,6)")).otherwise(F.greatest(dec(F.expr("0.05BD") * scale), F.expr("0.01BD"))))
-        near = lambda d: (F.expr("1BD") - F.least(diff / d, F.expr("1BD"))).cast("double")
+        tolerance = F.when(whole, dec(F.lit(5))).otherwise(F.greatest(dec(F.expr("0.05BD") * scale), dec(F.expr("0.01BD"))))
         rounded = F.when(whole & (diff <= 1), True).otherwise(F.when(scale <= 1000, F.round(a, 2) == F.round(b, 2)).otherwise(F.round(a, 1) == F.round(b, 1)))
-        return let(F.struct((a == b).alias("same"), near(tolerance).alias("n1"), near(scale).alias("n2"), _one(rounded).alias("n3")), shown)
+        return let(tolerance, lambda t: let(F.struct((a == b).alias("same"), near(diff, t).alias("n1"), near(diff, scale).alias("n2"), _one(rounded).alias("n3")), shown))
 
     def shown(v: Column) -> Column:
         return _result([flag(v["same"]), *(two_places(v[x]) for x in ("n1", "n2", "n3"))], _sum([_one(v["same"]), v["n1"], v["n2"], v["n3"]]))
 
     def measured(v: Column) -> Column:
         a, b = v["a"], v["b"]
-        more = F.struct(a.alias("a"), b.alias("b"), dec(F.abs(a - b)).alias("diff"), dec(F.greatest(F.abs(a), F.abs(b), F.lit(1).cast("decimal(18,6)"))).alias("scale"), ((a == F.floor(a)) & (b == F.floor(b))).alias("whole"))
+        more = F.struct(a.alias("a"), b.alias("b"), dec(F.abs(a - b)).alias("diff"), dec(F.greatest(F.abs(a), F.abs(b), dec(F.lit(1)))).alias("scale"), ((a == F.floor(a)) & (b == F.floor(b))).alias("whole"))
         return F.when(a.isNotNull() & b.isNotNull(), let(more, scored)).otherwise(zeros(4))
 
     return let(F.struct(parse_number(l).alias("a"), parse_number(r).alias("b")), measured)

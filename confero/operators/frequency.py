@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,26 +27,43 @@ def name_frequency(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.explode(slots).alias("s")).groupBy(F.col("s.slot").alias("slot"), F.col("s.token").alias("token")).agg(F.count("*").alias("n"))
 
 
-def rare_and_common(df: DataFrame, value: str, slots: Column, frequency: DataFrame, by_slot: bool, out: tuple[str, str]) -> DataFrame:
-    """Adds how many slots of `value` are rare and common.
+@dataclass(frozen=True)
+class Words:
+    """A pair of normalised columns whose words are counted, under a name; `person`: by first, middle and last."""
 
-    Looked up once for each different value; only tokens that are not rare go into the join, and Spark broadcasts
-    them where their measured size allows.  Empty values have no slots and stay out of the join.
-    """
-    rare, common = out
-    known = frequency.where(F.col("n") >= RARE)
-    keys = ["slot", "token"] if by_slot else ["token"]
-    found = df.select(F.col(value).alias("value")).where("value <> ''").distinct().select("value", F.explode(slots).alias("s")).select("value", "s.slot", "s.token").join(known, keys, "left")
-    counts = found.groupBy("value").agg(F.sum(F.when(F.col("n").isNull(), 1).otherwise(0)).alias(rare), F.sum(F.when(F.col("n") > COMMON, 1).otherwise(0)).alias(common))
-    return df.join(counts, F.when(F.col(value) != "", F.col(value)) == F.col("value"), "left").drop("value").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in out})
+    pair: str
+    left: str
+    right: str
+    person: bool
 
+    def entries(self, *columns: str) -> Column:
+        """(pair, slot, token) of the columns' words."""
+        of = (lambda t: name_slots(t)) if self.person else (lambda t: F.transform(t, lambda x: F.struct(F.lit("").alias("slot"), x.alias("token"))))
+        slots = F.flatten(F.transform(F.array(*columns), lambda c: of(tokens(c))))
+        return F.transform(slots, lambda x: F.struct(F.lit(self.pair).alias("pair"), x["slot"].alias("slot"), x["token"].alias("token")))
 
-def text_slots() -> Column:
-    return F.transform(tokens(F.col("value")), lambda x: F.struct(F.lit("").alias("slot"), x.alias("token")))
 
+def rare_and_common(df: DataFrame, words: Sequence[Words], frequency: DataFrame | None = None) -> DataFrame:
+    """Adds rare_<pair> and common_<pair> for each pair: how many slots of its left value are rare and common.
 
-def person_slots() -> Column:
-    return name_slots(tokens(F.col("value")))
+    All pairs share one aggregation and one join.  Rows are first reduced to their different values, which are counted
+    and looked up; only tokens that are not rare go into the look-up, and Spark broadcasts them where their measured
+    size allows.  Without `frequency` (pair, slot, token, n) the words of the pairs' own columns are counted.
+    """
+    out = [f"{c}_{w.pair}" for w in words for c in ("rare", "common")]
+    if not words:
+        return df
+    keys = list(dict.fromkeys(c for w in words for c in (w.left, w.right)))
+    values = df.groupBy(*keys).agg(F.count("*").alias("times")).where("times > 0")
+    if frequency is None:
+        every = F.flatten(F.array(*(w.entries(w.left, w.right) for w in words)))
+        frequency = values.select("times", F.explode(every).alias("s")).groupBy("s.pair", "s.slot", "s.token").agg(F.sum("times").alias("n"))
+    known = frequency.where(F.col("n") >= RARE).select("pair", "slot", "token", "n")
+    left = F.flatten(F.array(*(w.entries(w.left) for w in words)))
+    found = values.select(*keys, "times", F.explode(left).alias("s")).select(*keys, "s.pair", "s.slot", "s.token").join(known, ["pair", "slot", "token"], "left")
+    of = lambda w, test: F.sum(F.when((F.col("pair") == w.pair) & test, 1).otherwise(0))
+    counts = found.groupBy(*keys).agg(*(of(w, test).alias(f"{c}_{w.pair}") for w in words for c, test in (("rare", F.col("n").isNull()), ("common", F.coalesce(F.col("n") > COMMON, F.lit(False))))))
+    return df.join(counts, keys, "left").select(*df.columns, *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in out))
 
 
 def fixed_frequencies(df: DataFrame, people: dict[str, tuple[str, str]]) -> DataFrame:

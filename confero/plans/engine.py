@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import missing_to_empty, normalize, total_format
 from ..operators import comparators as cmp
-from ..operators.frequency import fixed_frequencies, name_frequency, person_slots, rare_and_common, text_frequency, text_slots
+from ..operators.frequency import Words, rare_and_common
 
 FINAL = "nota final"
 # Labels of the partial scores, in order.
@@ -56,9 +56,11 @@ def _by_index(df: DataFrame, na: bool) -> DataFrame:
 
 
 def _named(df: DataFrame, names: list[str], scores: list[Column], heads: list[str], sort_by: str | None, ascending: bool, numeric: bool) -> DataFrame:
-    """Input columns and scores under their names, in order of one of them; rows that tie keep the input's order."""
+    """Input columns and scores under their names, in order of one of them; rows that tie keep the input's order.
+
+    A range sort looks at its input twice; the exchange before it keeps the scores, so that they are worked out once."""
     n = len(names)
-    out = df.select(*(F.col(f"c{i}") for i in range(n)), *(s.alias(f"s{i}") for i, s in enumerate(scores)), "row")
+    out = df.select(*(F.col(f"c{i}") for i in range(n)), *(s.alias(f"s{i}") for i, s in enumerate(scores)), "row").repartition("row")
     if sort_by is None:
         out = out.orderBy("row")
     else:
@@ -74,6 +76,19 @@ def _check(sort_by: str | None, names: Sequence[str]) -> None:
         raise ValueError(f"no column {sort_by!r} to sort by")
 
 
+def _compare(p: Pair, name: str, initials: bool = True) -> Column:
+    """The comparator of a pair's type over normalised columns n<i>, or raw ones c<i> for numbers."""
+    l, r, kind = F.col(f"n{p.left}"), F.col(f"n{p.right}"), p.kind.upper()
+    match kind:
+        case "D" | "C" | "L":
+            return {"D": cmp.date, "C": cmp.locality, "L": cmp.address}[kind](l, r)
+        case "M":
+            return cmp.number(F.col(f"c{p.left}"), F.col(f"c{p.right}"))
+        case "N":
+            return cmp.name(l, r, F.col(f"rare_{name}"), F.col(f"common_{name}"), initials=initials)
+    return cmp.text(l, r, F.col(f"rare_{name}"), F.col(f"common_{name}"))
+
+
 def score_pairs(df: DataFrame, pairs: Sequence[Pair], sort_by: str | None = FINAL, ascending: bool = False, numeric: bool = False, na: bool = True, initials: bool = True, progress: Callable | None = None) -> DataFrame:
     """Adds the partial scores of every pair and their sum.
 
@@ -87,20 +102,9 @@ def score_pairs(df: DataFrame, pairs: Sequence[Pair], sort_by: str | None = FINA
     names = df.columns
     work = _by_index(df, na).withColumn("row", F.monotonically_increasing_id())
     used = sorted({i for p in pairs if p.kind.upper() != "M" for i in (p.left, p.right)})
-    base = work
     work = work.select("*", *(normalize(F.col(f"c{i}")).alias(f"n{i}") for i in used))
-    results: list[Column] = []
-    for k, p in enumerate(pairs):
-        l, r, kind = F.col(f"n{p.left}"), F.col(f"n{p.right}"), p.kind.upper()
-        if kind in ("D", "C", "L", "M"):
-            by = {"D": cmp.date, "C": cmp.locality, "L": cmp.address, "M": cmp.number}[kind]
-            results.append(by(F.col(f"c{p.left}"), F.col(f"c{p.right}")) if kind == "M" else by(l, r))
-            continue
-        columns = (f"c{p.left}", f"c{p.right}")
-        frequency, slots = (name_frequency(base, *columns), person_slots()) if kind == "N" else (text_frequency(base, *columns), text_slots())
-        work = rare_and_common(work, f"n{p.left}", slots, frequency, kind == "N", (f"rare{k}", f"common{k}"))
-        counts = F.col(f"rare{k}"), F.col(f"common{k}")
-        results.append(cmp.name(l, r, *counts, initials=initials) if kind == "N" else cmp.text(l, r, *counts))
+    work = rare_and_common(work, [Words(str(k), f"n{p.left}", f"n{p.right}", p.kind.upper() == "N") for k, p in enumerate(pairs) if p.kind.upper() not in ("D", "C", "L", "M")])
+    results = [_compare(p, str(k), initials) for k, p in enumerate(pairs)]
     work = work.select("*", *(x.alias(f"r{k}") for k, x in enumerate(results)))
     total, scores = F.lit(0.0), []
     for k, p in enumerate(pairs):
@@ -122,13 +126,10 @@ def score_fixed(df: DataFrame, layout: FixedLayout = FixedLayout(), frequencies:
     names = df.columns
     work = _by_index(df, na).withColumn("row", F.monotonically_increasing_id())
     people = {"paciente": (layout.name1, layout.name2), "mae": (layout.mother1, layout.mother2)}
-    if frequencies is None:
-        frequencies = fixed_frequencies(work, {p: (f"c{a}", f"c{b}") for p, (a, b) in people.items()})
     work = work.select("*", *(normalize(F.col(f"c{i}")).alias(f"n{i}") for i in sorted({i for pair in people.values() for i in pair} | {layout.birth1, layout.birth2})))
-    results = []
-    for p, (a, b) in people.items():
-        work = rare_and_common(work, f"n{a}", person_slots(), frequencies.where(F.col("person") == p).drop("person"), True, (f"rare_{p}", f"common_{p}"))
-        results.append(cmp.name(F.col(f"n{a}"), F.col(f"n{b}"), F.col(f"rare_{p}"), F.col(f"common_{p}")))
+    known = None if frequencies is None else frequencies.withColumnRenamed("person", "pair")
+    work = rare_and_common(work, [Words(p, f"n{a}", f"n{b}", True) for p, (a, b) in people.items()], known)
+    results = [_compare(Pair(a, b, "N", p), p) for p, (a, b) in people.items()]
     dated = (F.length(f"c{layout.birth1}") == 8) & (F.length(f"c{layout.birth2}") == 8)
     results.append(F.when(dated, cmp.date(F.col(f"n{layout.birth1}"), F.col(f"n{layout.birth2}"))).otherwise(cmp.zeros(5)))
     work = work.select("*", *(x.alias(f"r{k}") for k, x in enumerate(results)))
