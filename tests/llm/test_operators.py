@@ -25,20 +25,35 @@ def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     rng = random.Random(1)
-    rows = [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(300)] + [(1000 + i, [1, 2, 3, 4]) for i in range(40)] + [(2000, None), (2001, [1, 2])]
-    df = spark.createDataFrame(rows + rows[:3], "vec_id long, v array<bigint>")
-    got = mtree.top_k(df, df.where("vec_id % 20 = 0")).collect()
-    have = {}
-    for r in got:
-        have.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    full = [(i, v) for i, v in rows if v and len(v) == 4]
-    for q, v in full:
-        if q % 20 == 0:
-            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in full if i != q))[:10]
-            assert sorted(have[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0
+    rows = [(i, [rng.randint(-9, 9) for _ in range(4)]) for i in range(300)] + [(1000 + i, [1, 2, 3, 4]) for i in range(40)] + [(2000, None), (2001, [1, 2]), (2002, []), (None, [1, 2, 3, 4])]
+    rows += [*rows[:3], *[(1020, [1, 2, 3, 4])] * 30, *[(1001, [1, 2, 3, 4])] * 4, (20, [5, 5, 5, 5]), (2020, [9, 9])]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "vec_id long, v array<bigint>, block long, page string")
+    asked = sorted({(i, tuple(v)) for i, v in rows if i is not None and i % 20 == 0 and v})
+    want = []
+    for i, v in asked:
+        best = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in rows if j is not None and j != i and w and len(w) == len(v))[:10]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    for block, part, page in ((8192, 1024, 256), (64, 4, 8)):
+        monkeypatch.setattr(mtree, "BLOCK", block)
+        monkeypatch.setattr(mtree, "QUERIES", part)
+        monkeypatch.setattr(mtree, "PAGE", page)
+        got = mtree.top_k(df, df.where("vec_id % 20 = 0")).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    assert mtree.top_k(df.limit(0), df.limit(0)).count() == 0 and mtree.top_k(df.limit(0), df).count() == 0
+
+
+def test_tree_passes_pages_over():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-900, 900, (40, 8))
+    vectors = np.concatenate([c + rng.integers(-9, 9, (100, 8)) for c in centres])
+    tree = mtree.MTree.build(np.arange(4000), vectors, 11)
+    for i in range(0, 4000, 250):
+        found = tree.search(vectors[i], 10, i)
+        scores = vectors @ vectors[i]
+        assert found == sorted(((int(s), j) for j, s in enumerate(scores.tolist()) if j != i), key=lambda x: (-x[0], x[1]))[:10]
+    assert tree.computed < 16 * 4000 / 4
 
 
 def test_integers(spark):
@@ -64,6 +79,7 @@ def test_packing(spark):
 
     rng = random.Random(3)
     texts = [*ODD, *(" ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randint(1, 1500))) for _ in range(60))]
+    texts += ["x <|startoftext|> <|endoftext|>", "in<|endoftext|>side", "<|ENDOFTEXT|> <|endoftext", "<|endoftext|>É" * 3000, "w" * 1_000_000, "a b " * 250_000]
     t = Tokenizer.from_file(packing.WORD_BPE)
     rows = packing.pack(docs(spark, texts), with_ids=True).collect()
     by_doc, by_seq = {}, {}
@@ -99,28 +115,31 @@ def test_language(spark):
     assert {r["lang_pred"] for r in language.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
-def plain_components(texts, size, percent):
-    sets = {}
-    for i, t in enumerate(texts):
+def plain_components(rows, size, percent):
+    """(n_shingles, component) of each (doc_id, text), every row a document."""
+    sets = []
+    for _, t in rows:
         w = words(t)
         n = min(size, len(w))
-        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
-    parent = {i: i for i in sets}
+        sets.append({tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set())
+    parent = list(range(len(rows)))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, b in itertools.combinations(sets, 2):
+    for a, b in itertools.combinations(range(len(rows)), 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
-    return {i: (len(s), root(i)) for i, s in sets.items()}
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[root(i)] = min(doc_id, least.get(root(i), doc_id))
+    return [(doc_id, len(sets[i]), least[root(i)]) for i, (doc_id, _) in enumerate(rows)]
 
 
-def test_near_duplicates(spark, monkeypatch):
-    rng = random.Random(7)
+def near_texts(rng):
     vocabulary = [f"w{i}" for i in range(400)]
     texts = list(ODD)
     for _ in range(6):
@@ -130,17 +149,41 @@ def test_near_duplicates(spark, monkeypatch):
             for _ in range(rng.randint(0, 6)):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy))
-    texts += [texts[-1]] * 5
-    want = plain_components(texts, 3, 85)
+    return [*texts, *[texts[-1]] * 5, "long " + " ".join(rng.choice(vocabulary) for _ in range(200_000))]
+
+
+def test_near_duplicates(spark, monkeypatch):
+    texts = near_texts(random.Random(7))
+    want = sorted(plain_components(list(enumerate(texts)), 3, 85))
     for block in (512, 8):  # small blocks: buckets and clusters are cut
         monkeypatch.setattr(neardup, "BLOCK", block)
-        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, texts), 3, 85).collect()}
-        assert got == want
+        got = neardup.near_duplicates(docs(spark, texts).withColumns({c: F.lit(1) for c in ("node", "key", "row", "part", "component", "text_hash")}), 3, 85).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     repeated = docs(spark, ["a b c d e f", "a b c d e f"]).withColumn("doc_id", F.lit(4).cast("long"))
     assert [(r["component_id"], r["kept"]) for r in neardup.near_duplicates(repeated).collect()] == [(4, True)] * 2
     assert neardup.near_duplicates(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_duplicates_of_one_id(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(f"{x}{rng.randrange(99)}" for _ in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, a), (4, None), (4, None), (5, ""), (0, b + " less")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_components(rows, 3, 85))
+    assert len({r["group_id"] for r in got}) == 5
+
+
+def test_components_of_a_path(spark):
+    order = list(range(10_000))
+    random.Random(4).shuffle(order)
+    scratch = neardup.Scratch(spark, "t")
+    saved = []
+    scratch.save = lambda df, name, save=scratch.save: saved.append(name) or save(df, name)
+    got = neardup.components(spark.createDataFrame(list(zip(order, order[1:])) + [(20_000, 20_001)], "a long, b long"), scratch, "path").collect()
+    assert sorted((r["node"], r["component"]) for r in got) == [(i, 0) for i in range(10_000)] + [(20_000, 20_000), (20_001, 20_000)]
+    assert len(saved) <= 2 * 20
+
+
 def test_fingerprints(spark):
     rng = random.Random(9)
     texts = [*ODD, *(" ".join(rng.choice(["red", "blue", "green", "cat", "dog", f"u{i}"]) for _ in range(rng.randint(5, 50))) for i in range(80))]
@@ -185,7 +228,8 @@ def test_warc(spark):
     big = "é<p>x</p>" * 20000
     pages = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 40)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
-    got = {r["page_id"]: r for r in warc.read_records(warc.write_records(df, warc.Scratch(spark, "t"), chunk=1000)).collect()}
+    scratch = warc.Scratch(spark, "t")
+    got = {r["page_id"]: r for r in warc.read_records(warc.write_records(df, scratch, chunk=1000), scratch).collect()}
     for i, _, html in pages:
         p = (html or "").encode()
         assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["intact"]) == (len(p), hashlib.sha256(p).hexdigest(), True)
@@ -197,17 +241,29 @@ def test_warc_repeated_rows(spark):
     one, two = "<p>one</p>" * 300, "<p>two</p>" * 300
     pages = [(1, "u", one), (1, "u", one), (1, "v", one), (1, "u", two), (2, "u", one), (2, "u", one), (3, None, None), (3, None, None), (4, "u", "alone")]
     df = spark.createDataFrame(pages * 2, "page_id long, url string, html string")
-    archive = warc.write_records(df, warc.Scratch(spark, "t"), chunk=1000)
+    scratch = warc.Scratch(spark, "t")
+    archive = warc.write_records(df, scratch, chunk=1000)
     heads = [bytes(r["data"]).decode() for r in archive.where("chunk = 0").collect()]
     ids = {re.search("WARC-Record-ID: <(.*)>", h)[1] for h in heads}
     assert len(ids) == len(heads) == 2 * len(pages)
     assert {r[1] for h in heads if (r := re.search("WARC-Refers-To: <(.*)>", h))} <= ids
     assert sorted(re.findall("WARC-Target-URI: (.*)\r", "".join(heads))) == sorted(u for _, u, _ in pages * 2 if u)
-    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0, r["intact"]) for r in warc.read_records(archive).collect())
+    got = sorted((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0, r["intact"]) for r in warc.read_records(archive, scratch).collect())
     want = sorted((i, len(h or ""), hashlib.sha256((h or "").encode()).hexdigest(), *(("revisit", 1) if i == 2 else ("response", 0)), True) for i, _, h in pages * 2)
     assert got == want
 
 
+def test_warc_damage(spark):
+    pages = [(1, None, "<p>one</p>" * 300), (2, None, "<p>one</p>" * 300), (3, "u", "other" * 300)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    scratch = warc.Scratch(spark, "t")
+    archive = warc.write_records(df, scratch, chunk=1000)
+    for at in ("chunk = 1", "chunk = 0"):  # a byte of the payload, in a further chunk or the first
+        hurt = archive.withColumn("data", F.expr(f"if(record_id like 'urn:page:1:%' and {at}, cast(replace(cast(data as string), 'one</p><p>one', 'two</p><p>one') as binary), data)"))
+        assert {r["page_id"]: r["intact"] for r in warc.read_records(hurt, scratch).collect()} == {1: False, 2: False, 3: True}
+    assert warc.read_records(archive.where("chunk <> 1"), scratch).where("intact").count() == 0
+
+
 def labelled(spark):
     rng = random.Random(11)
     plain = [f"word{i}" for i in range(60)]
