@@ -161,7 +161,7 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
         for big in source:
             for batch in slices(big, "text"):
                 for doc_id, text in zip(*columns(batch, "doc_id", "text")):
-                    ids = b"".join([*bpe.encode((text or b"").lower().split()), end])
+                    ids = bpe.encode_text(text or b"") + end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         some = ids[at : at + 4 * capacity]
                         n = len(some) // 4
@@ -179,8 +179,8 @@ def _ddl(schema: pa.Schema) -> str:
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = WORD_BPE, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """Pack documents (doc_id, text; further columns are not looked at) into sequences of `capacity` tokens.
 
-    A document is its ids and `end_id`; only longer ones are cut.  Null and empty texts are the end id alone;
-    repeated rows are packed as often as they occur; an empty table gives no rows.  Returns a row for each piece:
+    A document is its ids and `end_id`; only those longer than the capacity are cut, however long.  Null and empty
+    texts are the end id alone; repeated rows are packed as often as they occur; an empty table gives no rows.  Returns a row for each piece:
     doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, little-endian, if asked for).
     Ties in length are broken by the place in the input.
     """

@@ -20,6 +20,8 @@ _ODD = regex.compile(r"[\x00-\x20\x7f-\xa0\xad]|[^\x00-\xff]")
 #: Words, and parts of words, kept in caches; at the limit one starts afresh, which costs time only.  A worker
 #: keeps them from one stage to the next, so they are small beside an executor's memory.
 _CACHE, _PARTS = 400_000, 200_000
+#: Longer words are not kept.
+_LONG = 200
 #: Byte-level vocabularies write bytes that do not print as characters from 256 on, in order.
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255))}
 
@@ -29,7 +31,9 @@ class WordBpe:
 
     def __init__(self, path: str = WORD_BPE):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.whole = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # a word by itself is never one of the added tokens
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(self.size, bool)
@@ -46,7 +50,16 @@ class WordBpe:
                 known.clear()
                 new = set(words)
             self._learn(list(new))
-        return list(map(known.__getitem__, words))
+        out = list(map(known.__getitem__, words))
+        for w in [w for w in new if len(w) > _LONG]:
+            del known[w]
+        return out
+
+    def encode_text(self, text: bytes) -> bytes:
+        """The ids of a text.  One that holds an added token, spelt as in the vocabulary file, goes to the library whole."""
+        if any(map(text.__contains__, self.added)):
+            return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(self.encode(text.lower().split()))
 
     def _learn(self, words: list[bytes]) -> None:
         if len(self.parts) > _PARTS:
@@ -68,6 +81,8 @@ class WordBpe:
         get = self.parts.__getitem__
         for word, found in plain:
             self.words[word] = get(found[0]) if len(found) == 1 else b"".join(map(get, found))
+        for part in [p for p in new if len(p) > _LONG]:
+            del self.parts[part]
         for word, e in zip(odd, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)):
             self.words[word] = np.array(e.ids, "<u4").tobytes()
 
