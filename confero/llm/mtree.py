@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, batches, columns, table
 
-BLOCK, QUERIES, PAGE, FAN = 4096, 256, 64, 16
+#: Vectors of a tree, queries that meet it at once, entries of a page, pages that a page is cut into.
+BLOCK, QUERIES, PAGE, FAN = 8192, 1024, 256, 16
 
 
 class MTree:
@@ -34,7 +35,15 @@ class MTree:
         unique, which = np.unique(vectors, axis=0, return_inverse=True)
         order = np.lexsort((ids, which.ravel()))
         cuts = np.flatnonzero(np.diff(which.ravel()[order])) + 1
-        same = [x[:keep] for x in np.split(ids[order], cuts)]  # of equal vectors, those with the smallest ids can be among the best
+
+        def first(x: np.ndarray) -> np.ndarray:
+            """Of equal vectors, the smallest ids, which alone can be among the best; repeated ids as often as that matters."""
+            if len(x) <= keep:
+                return x
+            few, n = np.unique(x, return_counts=True)
+            return np.repeat(few[:keep], np.minimum(n[:keep], keep))
+
+        same = [first(x) for x in np.split(ids[order], cuts)]
         square = (unique * unique).sum(axis=1).astype(float)
         norm = float(square.max())
         lifted = np.column_stack([unique.astype(float), np.sqrt(np.maximum(norm - square, 0))])
@@ -83,10 +92,13 @@ class MTree:
             scores = entries[open_] @ query
             self.computed += len(open_)
             if leaf:
-                floor = best[0][0] if len(best) == k else None
-                for i, s in zip(open_.tolist(), scores.tolist()):
-                    if floor is not None and s < floor:
-                        continue
+                if len(best) == k:
+                    able = np.flatnonzero(scores >= best[0][0])
+                elif len(scores) > k:  # enough entries: only the page's own best can matter
+                    able = np.flatnonzero(scores >= np.partition(scores, -k - 1)[-k - 1])
+                else:
+                    able = np.arange(len(scores))
+                for i, s in zip(open_[able].tolist(), scores[able].tolist()):
                     for v in below[i].tolist():
                         if v == own:
                             continue
@@ -107,7 +119,7 @@ class MTree:
 
 
 _TREES = pa.schema([("block", pa.int64()), ("page", pa.int64()), ("data", pa.binary())])
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND = pa.schema([("asked", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _trees(keep: int):
@@ -136,7 +148,7 @@ def _searches(k: int):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         now, tree = None, None
         for batch in source:
-            for block, part, page, data, query_id, v in zip(*columns(batch, "block", "part", "page", "data", "query_id", "v")):
+            for block, part, page, data, asked, query_id, v in zip(*columns(batch, "block", "part", "page", "data", "asked", "query_id", "v")):
                 if (block, part) != now:
                     now, tree = (block, part), None
                 if page == 0:
@@ -145,34 +157,38 @@ def _searches(k: int):
                     tree.pages.append(pickle.loads(data))
                 elif tree is not None:
                     for score, vec_id in tree.search(np.array(v, np.int64), k, query_id):
-                        yield query_id, vec_id, score
+                        yield asked, query_id, vec_id, score
 
     return rows
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """The k highest inner products of each query with all vectors but its own: query_id, rank, vec_id, score.
+    """The k highest inner products of each query with all vectors of other ids: query_id, rank, vec_id, score.
 
-    Both tables: vec_id long, v array<bigint>; a vector of another length than the query's takes no part.  Ties go to
-    the smaller vec_id; repeated rows are one; with fewer than k others all are returned; empty tables give no rows.
+    Both tables: vec_id long, v array<bigint>; a vector of another length than the query's takes no part, nor does one
+    that is null or empty, of any length.  Ties go to the smaller vec_id.  A repeated row of `vectors` counts as often as
+    it occurs; a repeated query is asked once, different vectors under one id are different queries.  With fewer than k
+    others all are returned; empty tables give no rows; other columns are not looked at.
     Vectors are dealt to blocks by the hash of their id, queries to parts, and each meets each: blocks and parts are
     bounded, however many vectors or queries share a value.
     """
     scratch = Scratch(vectors.sparkSession, "mtree")
-    vectors = vectors.where("vec_id is not null and v is not null and size(v) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "v").distinct()
-    queries = queries.where("vec_id is not null and v is not null and size(v) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "v").distinct()
+    real = lambda df: df.where("vec_id is not null and v is not null and size(v) > 0").select(F.col("vec_id").cast("long").alias("vec_id"), "v")
+    vectors = real(vectors)
+    queries = scratch.save(real(queries).distinct().withColumn("asked", F.monotonically_increasing_id()), "queries")
     n_blocks, n_parts = (max(1, -(-x.count() // size)) for x, size in ((vectors, BLOCK), (queries, QUERIES)))
     place = F.size("v").cast("long") * F.lit(1 << 32)
-    dealt = vectors.select((place + F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))).alias("block"), "vec_id", "v")
+    # repeated ids go to different blocks: a block is bounded whatever ids there are
+    dealt = vectors.select((place + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n_blocks))).alias("block"), "vec_id", "v")
     dealt = dealt.repartition("block").sortWithinPartitions("block", "vec_id")
     trees = scratch.save(dealt.mapInArrow(lambda s: batches(_trees(k + 1)(s), _TREES, 32), "block long, page long, data binary"), "trees")
     none = F.lit(None)
-    pages = trees.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "page", "data", none.cast("long").alias("query_id"), none.cast("array<bigint>").alias("v"))
-    asked = queries.select(place.alias("place"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_parts)).cast("int").alias("part"), F.col("vec_id").alias("query_id"), "v")
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "*").select((F.col("place") + F.col("b")).alias("block"), "part", F.lit((1 << 62)).alias("page"), none.cast("binary").alias("data"), "query_id", "v")
-    both = pages.union(asked).repartition("block", "part").sortWithinPartitions("block", "part", "page")
-    found = both.mapInArrow(lambda s: batches(_searches(k)(s), _FOUND, 5000), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pages = trees.select("block", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("part"), "page", "data", none.cast("long").alias("asked"), none.cast("long").alias("query_id"), none.cast("array<bigint>").alias("v"))
+    sent = queries.select(place.alias("place"), F.pmod(F.xxhash64("asked"), F.lit(n_parts)).cast("int").alias("part"), "asked", F.col("vec_id").alias("query_id"), "v")
+    sent = sent.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("b"), "*").select((F.col("place") + F.col("b")).alias("block"), "part", F.lit(1 << 62).alias("page"), none.cast("binary").alias("data"), "asked", "query_id", "v")
+    both = pages.union(sent).repartition("block", "part").sortWithinPartitions("block", "part", "page")
+    found = both.mapInArrow(lambda s: batches(_searches(k)(s), _FOUND, 5000), "asked long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -191,7 +207,8 @@ def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+q AS (SELECT DISTINCT vec_id, v FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT q.vec_id AS query_id, q.v AS asked, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM q JOIN v c ON q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
