@@ -28,6 +28,8 @@ PASSAGE = 12
 #: Bytes up to which a letter is given the whole beginning of its word, and letters further on so many less one;
 #: how often a beginning, or a letter with those before it, must occur to count by itself.
 DEPTH, RARE = 10, 4
+#: How often a pair of words must occur in a class, and more, to count by itself.
+PAIRS = 2
 
 
 def _inside(word: bytes) -> list[bytes]:
@@ -91,12 +93,19 @@ class KneserNey:
             for (v, _), n in two[c].items():
                 after[c][v] += n
                 lost[c][v] += discount(n)
-        for v, w in {x for c in two for x, n in c.items() if n > 2}:
-            base = math.exp(self.ratio(w) / 2) / 1000  # only the ratio of the two orders below matters
+        spelt: dict[tuple[int, bytes], float] = {}
+
+        def whole(c: int, word: bytes) -> float:
+            """A word's probability by its letters: the order that a pair of words backs off to."""
+            if (known := spelt.get((c, word))) is None:
+                w = word + b"$"
+                known = spelt[c, word] = math.prod(p(c, x) for x in [*(w[:i] for i in range(1, min(len(w), DEPTH) + 1)), *(_inside(w) if len(w) > DEPTH else ())])
+            return known
+
+        for v, w in {x for counts in two for x, n in counts.items() if n > PAIRS}:
 
             def q(c: int) -> float:
-                one = base if c else base * math.exp(-self.ratio(w))
-                n = two[c][v, w]
+                one, n = max(whole(c, w), 1e-300), two[c][v, w]
                 return max(n - discount(n), 0) / after[c][v] + lost[c][v] / after[c][v] * one if after[c][v] else one
 
             self.pair[v, w] = math.log(q(1) / q(0))
@@ -113,7 +122,8 @@ class KneserNey:
                 r += s
             if len(w) > DEPTH:
                 r += sum(step.get(g, 0.0) for g in _inside(w))
-            self.known[word] = r
+            if len(word) <= 100:
+                self.known[word] = r
         return r
 
     def evidence(self, text: bytes) -> np.ndarray:
