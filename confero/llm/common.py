@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch, shared_dir  # noqa: F401
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words are what stands between these bytes: blank and 09 to 0D.
@@ -24,55 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it.
-
-    Where the session names none, a local session (tests) gets a temporary folder of its own;
-    a cluster without the setting is refused, for its executors share no local folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    global _OWN
-    if _OWN is None:
-        _OWN = "file://" + tempfile.mkdtemp(prefix="confero-")
-    return _OWN
-
-
-_OWN: str | None = None
-
-
-class Scratch:
-    """Intermediate tables of one operator call, written to the shared folder so that a lost
-    executor costs a re-read and not a re-computation.  What a result still reads stays until the driver ends."""
-
-    def __init__(self, spark: SparkSession, what: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/confero/{what}-{uuid.uuid4().hex}"
-        files, path = self._files(self.root)
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-
-    def _files(self, name: str):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write and read again: cuts the lineage."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, name: str) -> None:
-        """Remove a table that nothing reads any more."""
-        files, path = self._files(self.path(name))
-        files.delete(path, True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
