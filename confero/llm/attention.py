@@ -1,52 +1,33 @@
-"""A small causal self-attention model over subword ids, trained and run in numpy.
+"""A small causal self-attention model over words' subword ids, trained and run in numpy.
 
-The probability of the next id is  p(class | attention over the window) * p(id | class, piece before it in the
-word).  The second factor is counts of the whole learning corpus; the first is one attention layer with relative
-position biases.  A class is a group of frequent ids that keep the same company, such as a language's, or a group
-of the rest by word end and frequency.
+A word enters as the mean of its ids' embeddings.  From the words before it in a window, one attention layer with
+relative position biases gives the class of the first id of the next word, or the text's end.  A class is a group of
+frequent ids that keep the same company, such as a language's, or a band of the rest by frequency.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, OVERLAP, WIDTH = 48, 8, 8
-TOP, GROUPS, CLASSES = 2048, 22, 32
+WINDOW, OVERLAP, WIDTH = 32, 8, 8
+TOP, GROUPS, BANDS = 2048, 27, 4
+#: Groups, bands, and the text's end.
+CLASSES = GROUPS + BANDS + 1
+#: What an id is embedded as: itself if it is frequent, else its band; the last is the text's start.
+COLUMNS = TOP + BANDS + 1
 #: Ids whose company tells groups of frequent ids apart: the most frequent ones.
 COMPANY = 64
-#: Rows of counts: a piece that began its word, a piece further on, and the beginning of a word.
-ROWS = 2 * (TOP + 1) + 1
-NAMES = ("E", "Wq", "Wk", "Wv", "Wr", "rel", "U", "b")
 
 
 @dataclass
 class Lexicon:
-    """What the corpus counts say about ids.  Two ids more than the vocabulary's stand for start and end of text."""
+    """What the corpus counts say about ids."""
 
-    top: np.ndarray  # for each id its place among the most frequent, or TOP
+    column: np.ndarray  # for each id its place among the most frequent, or TOP and its band
     klass: np.ndarray
-    inside: np.ndarray  # log share of the id among its class's less frequent ids; 0 for frequent ids
-    ends: np.ndarray  # whether a word ends with the id
-    prior: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # log p(class | row), which attention starts from
-    cond: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))  # log p(column | class, row)
-
-    @property
-    def start(self) -> int:
-        return len(self.top) - 2
-
-    @property
-    def end(self) -> int:
-        return len(self.top) - 1
-
-    def row(self, stream: np.ndarray) -> np.ndarray:
-        """Rows of counts for what follows each id of a stream: the piece before in the word, if there is one."""
-        began = np.concatenate([np.ones_like(stream[..., :1], dtype=bool), self.ends[stream[..., :-1]]], axis=-1)
-        return np.where(self.ends[stream], ROWS - 1, self.top[stream] + np.where(began, 0, TOP + 1))
-
-    def column(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(self.top[ids] < TOP, self.top[ids], TOP + self.klass[ids])
+    inside: np.ndarray  # log share of the id in its band; 0 for frequent ids
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -57,7 +38,7 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def groups(company: np.ndarray, rounds: int = 25, seed: int = 5) -> np.ndarray:
-    """Groups frequent ids by what stands in the same windows: k-means on log-ratios to the expected company."""
+    """Groups frequent ids by what stands in the same texts: k-means on log-ratios to the expected company."""
     total = company.sum(axis=0) + 1
     share = total / total.sum()
     ratio = np.log((company + 20 * share) / (company.sum(axis=1, keepdims=True) + 20) / share) * np.sqrt(share)
@@ -77,88 +58,89 @@ def groups(company: np.ndarray, rounds: int = 25, seed: int = 5) -> np.ndarray:
     return own
 
 
-def lexicon(counts: np.ndarray, ends: np.ndarray, grouped: np.ndarray) -> Lexicon:
-    """From the ids' counts, start and end of text last, and the groups of the TOP most frequent ids."""
-    n, rank = len(counts), ranks(counts)
-    top = np.minimum(rank, TOP).astype(np.int32)
-    band = np.clip(np.log2(np.maximum(rank - TOP, 0) / TOP + 1), 0, 3.99).astype(np.int64)
-    klass = np.where(rank < TOP, grouped[np.minimum(rank, TOP - 1)], GROUPS + band * 2 + ends).astype(np.int32)
-    klass[-1], klass[-2] = CLASSES - 1, CLASSES - 2
-    rest = np.where(top == TOP, counts + 0.1, 0.0)
-    inside = np.zeros(n, np.float32)
-    some = top == TOP
-    inside[some] = np.log(rest[some] / np.bincount(klass, rest, CLASSES)[klass[some]])
-    return Lexicon(top, klass, inside, np.concatenate([ends[:-2], [True, True]]))
-
-
-def conditional(lex: Lexicon, pairs: np.ndarray, counts: np.ndarray, strength: float = 4.0) -> None:
-    """Sets lex.prior and lex.cond from pair counts (row, column), smoothed by the ids' own counts.  Classes at the
-    beginning of a word are counted by a row more than ROWS."""
-    own = np.bincount(lex.column(np.arange(len(counts))), counts + 0.1, TOP + CLASSES)
-    klass = np.empty(TOP + CLASSES, np.int64)
-    klass[lex.column(np.arange(len(counts)))] = lex.klass
-    klass[TOP:] = np.arange(CLASSES)
-    base = own / np.maximum(np.bincount(klass, own, CLASSES)[klass], 1e-9)
-    member = np.zeros((TOP + CLASSES, CLASSES))
-    member[np.arange(TOP + CLASSES), klass] = 1
-    base, member = base.astype(np.float32), member.astype(np.float32)
-    total = pairs @ member
-    lex.cond = np.log((pairs[:-1] + strength * base + 1e-12) / (total[:-1, klass] + strength))
-    total = np.concatenate([total[:-2], total[-1:]])
-    share = (np.bincount(lex.klass, counts + 1e-3, CLASSES) + 1e-3) / (counts + 1e-3).sum()
-    lex.prior = np.log((total + strength * share.astype(np.float32)) / (total.sum(axis=1, keepdims=True) + strength))
-
-
-def initial(seed: int = 11) -> dict[str, np.ndarray]:
+def lexicon(counts: np.ndarray, grouped: np.ndarray) -> Lexicon:
+    """From the ids' counts and the groups of the TOP most frequent ids."""
+    rank = ranks(counts)
+    band = np.clip(np.log2(np.maximum(rank - TOP, 0) / TOP + 1), 0, BANDS - 0.01).astype(np.int64)
+    rare = rank >= TOP
+    column = np.where(rare, TOP + band, rank).astype(np.int32)
+    klass = np.where(rare, GROUPS + band, grouped[np.minimum(rank, TOP - 1)]).astype(np.int32)
+    mass = np.where(rare, counts + 0.1, 0.0)
+    inside = np.zeros(len(counts))
+    inside[rare] = np.log(mass[rare] / np.bincount(band, mass, BANDS)[band[rare]])
+    return Lexicon(column, klass, inside)
+
+
+def initial(share: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+    """Weights before training: without attention, classes come by their shares."""
     rng, d = np.random.default_rng(seed), WIDTH
     draw = lambda *s: (rng.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
     return {
-        "E": (0.3 * rng.standard_normal((TOP + CLASSES, d))).astype(np.float32), "Wq": draw(d, d), "Wk": draw(d, d), "Wv": draw(d, d), "Wr": draw(d, d),
-        "rel": (-0.05 * np.arange(WINDOW)).astype(np.float32), "U": (0.1 * rng.standard_normal((d, CLASSES))).astype(np.float32), "b": np.zeros(CLASSES, np.float32),
+        "E": (0.3 * rng.standard_normal((COLUMNS, d))).astype(np.float32), "Wq": draw(d, d), "Wk": draw(d, d), "Wv": draw(d, d), "Wr": draw(d, d),
+        "rel": (-0.05 * np.arange(WINDOW)).astype(np.float32), "U": (0.1 * rng.standard_normal((d, CLASSES))).astype(np.float32), "b": np.log(share).astype(np.float32),
     }
 
 
 _LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-
-
-def _bias(rel: np.ndarray) -> np.ndarray:
-    """Relative position biases; what comes later is masked."""
-    return np.where(_LAG >= 0, rel[np.maximum(_LAG, 0)], np.float32(-1e9)).astype(np.float32)
-
-
-def gradient(p: dict[str, np.ndarray], x: np.ndarray, prior: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Cross-entropy of the classes y after the inputs x (batch, window), given the counts' log-probabilities, and its gradient."""
+_LATER = np.where(_LAG >= 0, np.float32(0), np.float32(-1e9))
+
+
+def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (window, WINDOW) in the stream of all texts' inputs, one after another, and which of them are asked for
+    what comes next: each input once, with at least OVERLAP inputs of its text before it, or all there are."""
+    stride = WINDOW - OVERLAP
+    first = np.cumsum(lengths) - lengths
+    many = 1 + np.maximum(lengths - WINDOW + stride - 1, 0) // stride
+    text = np.repeat(np.arange(len(lengths)), many)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    begin, stop = first[text] + nth * stride, (first + lengths)[text]
+    offsets = np.arange(WINDOW)
+    at = begin[:, None] + offsets
+    asked = (at < stop[:, None]) & ((offsets >= OVERLAP) | (nth[:, None] == 0))
+    return np.minimum(at, stop[:, None] - 1), asked
+
+
+def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, asked: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+    """Cross-entropy of the classes y that follow the inputs x (batch, window, width), where asked for; its gradient, by
+    weights and by x."""
     scale = np.float32(1 / np.sqrt(WIDTH))
-    e = p["E"][x]
-    q, k, v, r = (e @ p[w] for w in ("Wq", "Wk", "Wv", "Wr"))
-    s = q @ k.transpose(0, 2, 1) * scale + _bias(p["rel"])
-    a = np.exp(s - s.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    g = a @ v + r
-    z = g @ p["U"] + p["b"] + prior
-    z -= z.max(axis=2, keepdims=True)
-    soft = np.exp(z)
-    soft /= soft.sum(axis=2, keepdims=True)
-    i, j = np.indices(y.shape)
-    n = max(float(weight.sum()), 1.0)
-    loss = float(-(np.log(soft[i, j, y] + 1e-30) * weight).sum() / n)
-    dz = soft
-    dz[i, j, y] -= 1
-    dz *= (weight / n)[:, :, None]
-    flat = lambda m: m.reshape(-1, m.shape[-1])
-    out = {"U": flat(g).T @ flat(dz), "b": flat(dz).sum(axis=0)}
-    dg = dz @ p["U"].T
-    da = dg @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
+    n, w, d = x.shape
+    flat = x.reshape(-1, d)
+    q, k, v = ((flat @ p[m]).reshape(n, w, d) for m in ("Wq", "Wk", "Wv"))
+    a = q @ k.transpose(0, 2, 1)
+    a *= scale
+    np.clip(a, -30, 30, out=a)
+    a += p["rel"][np.maximum(_LAG, 0)] + _LATER
+    np.exp(a, out=a)
+    a /= a @ np.ones((w, 1), a.dtype)
+    mixed = a @ v
+    g = mixed.reshape(-1, d) + flat @ p["Wr"]
+    use = np.flatnonzero(asked.ravel())
+    gu, target, rows = g[use], y.ravel()[use], np.arange(len(use))
+    z = gu @ p["U"] + p["b"]
+    np.clip(z, -60, 60, out=z)
+    np.exp(z, out=z)
+    z /= z @ np.ones((CLASSES, 1), z.dtype)
+    total = max(len(use), 1)
+    loss = float(-np.log(z[rows, target] + 1e-30).sum() / total)
+    z[rows, target] -= 1
+    z /= np.float32(total)
+    out = {"U": gu.T @ z, "b": z.sum(axis=0)}
+    dg = np.zeros_like(g)
+    dg[use] = z @ p["U"].T
+    dg3 = dg.reshape(n, w, d)
+    ds = dg3 @ v.transpose(0, 2, 1)
+    dv = (a.transpose(0, 2, 1) @ dg3).reshape(-1, d)
+    ds -= (dg3 * mixed).sum(axis=2, keepdims=True)
+    ds *= a
     out["rel"] = np.bincount(np.maximum(_LAG, 0).ravel(), (ds.sum(axis=0) * (_LAG >= 0)).ravel(), WINDOW).astype(np.float32)
-    dq, dk, dv = ds @ k * scale, ds.transpose(0, 2, 1) @ q * scale, a.transpose(0, 2, 1) @ dg
-    de = np.zeros_like(e)
-    for w, d in (("Wq", dq), ("Wk", dk), ("Wv", dv), ("Wr", dg)):
-        out[w] = flat(e).T @ flat(d)
-        de += d @ p[w].T
-    out["E"] = np.zeros_like(p["E"])
-    np.add.at(out["E"], x.ravel(), flat(de))
-    return loss, out
+    ds *= scale
+    dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+    dx = np.zeros_like(flat)
+    for m, g in (("Wq", dq), ("Wk", dk), ("Wv", dv), ("Wr", dg)):
+        out[m] = flat.T @ g
+        dx += g @ p[m].T
+    return loss, out, dx.reshape(n, w, d)
 
 
 class Adam:
@@ -170,55 +152,64 @@ class Adam:
     def step(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
         for k, d in g.items():
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.01 * (d * d - self.v[k])
-            self.p[k] -= self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-8)
+            self.m[k] += np.float32(0.1) * (d - self.m[k])
+            self.v[k] += np.float32(0.01) * (d * d - self.v[k])
+            self.p[k] -= np.float32(self.rate / (1 - 0.9**self.t)) * self.m[k] / (np.sqrt(self.v[k] * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-8))
+
+
+def pooled(p: dict[str, np.ndarray], columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Words as the means of their ids' embeddings; columns: those of all words, one after another."""
+    return np.add.reduceat(p["E"][columns], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None].astype(np.float32)
+
+
+def train(p: dict[str, np.ndarray], adam: Adam, stream: np.ndarray, target: np.ndarray, lengths: np.ndarray, words: tuple[np.ndarray, np.ndarray], size: int = 128) -> None:
+    """Steps over all windows of some texts.  stream: words of the inputs, by their place in `words`, which are the
+    columns of all words one after another and each word's number of them; target: the class after each input."""
+    at, asked = windows(lengths)
+    columns, counts = words
+    start = np.cumsum(counts) - counts
+    for i in range(0, len(at), size):
+        place = at[i : i + size]
+        some, which = np.unique(stream[place], return_inverse=True)
+        n = counts[some]
+        own = columns[np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        x = pooled(p, own, n)
+        _, g, dx = gradient(p, x[which.reshape(place.shape)], target[place], asked[i : i + size])
+        flat, which = dx.reshape(-1, WIDTH), which.ravel()
+        by_word = np.stack([np.bincount(which, flat[:, j], len(some)) for j in range(WIDTH)], axis=1) / n[:, None]
+        by_id = np.repeat(by_word, n, axis=0)
+        g["E"] = np.stack([np.bincount(own, by_id[:, j], COLUMNS) for j in range(WIDTH)], axis=1).astype(np.float32)
+        adam.step(g)
 
 
 class Scorer:
-    """Log-probabilities of id sequences; each id is scored in one window, with at least OVERLAP ids before it."""
-
-    def __init__(self, p: dict[str, np.ndarray], lex: Lexicon):
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        e, self.u, self.b, self.lex = p["E"], p["U"], p["b"], lex
-        self.q, self.k, self.v, self.r = e @ p["Wq"] * scale, e @ p["Wk"], e @ p["Wv"], e @ p["Wr"]
-        self.bias = np.where(_LAG >= 0, np.exp(np.minimum(_bias(p["rel"]), 30)), 0).astype(np.float32)
-
-    def score(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log-probability of each id of each text and of each text's end, one after another, and of their classes."""
-        lex, stride = self.lex, WINDOW - OVERLAP
-        lengths = np.array([len(t) + 1 for t in texts])
-        stream = np.concatenate([x for t in texts for x in ((lex.start,), t, (lex.end,))]).astype(np.int64)
-        first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
-        # the windows of all texts: where they begin, and where their text ends
-        windows = 1 + np.maximum(lengths - WINDOW + stride - 1, 0) // stride
-        text = np.repeat(np.arange(len(texts)), windows)
-        nth = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
-        begin, stop = first[text] + nth * stride, first[text] + lengths[text]
-        column = lex.column(stream)
-        total, of_class = np.zeros(int(lengths.sum())), np.zeros(int(lengths.sum()))
-        shift = np.repeat(np.arange(len(texts)), windows)  # starts of text that stand before a window's ids in the stream
-        row = lex.row(stream)
-        within = lex.cond[row[:-1], column[1:]] + lex.inside[stream[1:]]
-        klass = lex.klass[stream]
-        offsets = np.arange(WINDOW)
-        for i in range(0, len(begin), 256):
-            at = begin[i : i + 256, None] + offsets
-            valid = (at < stop[i : i + 256, None]) & ((offsets >= OVERLAP) | (nth[i : i + 256, None] == 0))
-            at = np.minimum(at, stop[i : i + 256, None] - 1)
-            x = column[at]
-            s = self.q[x] @ self.k[x].transpose(0, 2, 1)
-            np.exp(np.clip(s, -40, 40, out=s), out=s)
+    """Log-probabilities of the classes that follow the inputs; each input is asked in one window."""
+
+    def __init__(self, p: dict[str, np.ndarray]):
+        self.p = p
+        self.bias = np.where(_LAG >= 0, np.exp(np.minimum(p["rel"][np.maximum(_LAG, 0)], 30)), 0).astype(np.float32)
+        self.maps = np.concatenate([p["Wq"] / np.float32(np.sqrt(WIDTH)), p["Wk"], p["Wv"], p["Wr"]], axis=1)
+
+    def maps_of(self, columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Queries, keys, values and direct parts of words, side by side."""
+        return pooled(self.p, columns, lengths) @ self.maps
+
+    def score(self, maps: np.ndarray, target: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The natural log-probability of the class after each input; maps: those of the inputs of all texts."""
+        at, asked = windows(lengths)
+        out, d = np.empty(len(maps)), WIDTH
+        for i in range(0, len(at), 256):
+            place, use = at[i : i + 256], np.flatnonzero(asked[i : i + 256].ravel())
+            m = maps[place]
+            s = m[:, :, :d] @ m[:, :, d : 2 * d].transpose(0, 2, 1)
+            np.clip(s, -30, 30, out=s)
+            np.exp(s, out=s)
             s *= self.bias
-            g = s @ self.v[x]
-            g /= s.sum(axis=2, keepdims=True)
-            g += self.r[x]
-            use = np.flatnonzero(valid.ravel())
-            place = at.ravel()[use]
-            z = g.reshape(-1, WIDTH)[use] @ self.u + self.b
-            z += lex.prior[row[place]]
-            like = z[np.arange(len(use)), klass[place + 1]] - np.log(np.exp(np.minimum(z, 80)).sum(axis=1))
-            out = place - np.repeat(shift[i : i + 256], valid.sum(axis=1))
-            of_class[out] = like
-            total[out] = like + within[place]
-        return total, of_class
+            g = s @ m[:, :, 2 * d : 3 * d]
+            g /= s @ np.ones((WINDOW, 1), s.dtype)
+            g += m[:, :, 3 * d :]
+            z = g.reshape(-1, d)[use] @ self.p["U"] + self.p["b"]
+            own = place.ravel()[use]
+            np.clip(z, -60, 60, out=z)
+            out[own] = z[np.arange(len(use)), target[own]] - np.log(np.exp(z) @ np.ones(CLASSES, z.dtype))
+        return out

@@ -1,38 +1,59 @@
 """Language-model scoring of whole texts: an add-0.1 unigram model of words as a base, and the attention model.
 
-The attention model gives the class of a word's first subword; the word is then read from a memory of all
-learned words, by their discounted counts in that class, or spelt in subwords with the discounts' mass; the
-probability is the sum of both ways.  Rarer words are remembered as well: their part is added where they are joined
-with their counts.  Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights
-are trained where the texts are, on overlapping windows over the whole of every such text, and averaged after each round.  The most frequent
-words' counts go to every executor, a bounded list; the rest of the words are joined with their counts.
+The attention model gives the class of the next word's first subword, or the text's end.  Inside its class a word is
+read from a memory of all learned words, by their discounted counts, or spelt in subwords with the discounts' mass, up
+to a sign for the word's end; its probability is the sum of both ways.  So the words of a text have probabilities that
+sum to no more than one.
+
+Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights are
+trained where the texts are, on overlapping windows over the whole of every such text, and averaged after each round.
+The most frequent words' counts go to every executor, a bounded list; the rest of the words are joined with their
+counts, and their memory is added there.
 """
 
 from __future__ import annotations
 
-import math
 import pickle
-import zlib
 from collections import Counter
-from collections.abc import Iterator
-from itertools import chain, repeat
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
 from .common import Scratch, batches, columns, crc_mod, slices, table, text_or_empty, word_bytes
-from .subwords import word_bpe
+from .wordids import END, START, Grown, WordIds, word_ids
 
 #: Words whose counts are sent to the executors; the bound of that list.
 HEAD = 100_000
-END = b""
-#: What each count in the memory of words leaves to spelling.
-DISCOUNT = 0.75
+#: What each count in the memory of words leaves to spelling, and a class without words as well.
+DISCOUNT, FLOOR = 0.75, 1.0
 ROUNDS = 2
+#: Words whose ids count as each other's company, and bytes of text that are worked on at once.
+SEGMENT, SLICE = 512, 1 << 20
+#: Rows and columns of the counts of ids that follow each other in a word; the last column is the word's end.
+ROWS = attention.TOP + attention.BANDS
+STOP = ROWS
+END_CLASS = attention.CLASSES - 1
+
+_WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+_CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
+_WEIGHTS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("gains", pa.list_(pa.float64()))])
+
+
+def _mapped(df: DataFrame, name: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: pa.Schema, ddl: str, size: int = 20000) -> DataFrame:
+    """mapInArrow of a generator of tuples, under a name that the plan shows."""
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return batches(rows(source), schema, size)
+
+    run.__name__ = name
+    return df.mapInArrow(run, ddl)
 
 
 def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -41,98 +62,84 @@ def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in slices(big, "text"):
             for text in columns(batch, "text")[0]:
                 found.update(word_bytes(text))
-                found[END] += 1
+                found[b""] += 1
             if len(found) > 300_000:
                 yield from found.items()
                 found = Counter()
     yield from found.items()
 
 
-_WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-
+def _real(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of a batch of words (without the texts' end), how many each has, and the words' counts."""
+    words, n = columns(batch, "word", "n")
+    keep = [i for i, w in enumerate(words) if w]
+    flat, counts = word_ids().encode([words[i] for i in keep])
+    return flat, counts, np.array(n, np.int64)[keep]
 
-def _sum_partials(df: DataFrame, schema: str, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum("n").alias("n"))
 
-
-def _subword_counts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    bpe = word_bpe()
-    found = np.zeros(bpe.size + 2, np.int64)
+def _id_counts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """How often ids occur, begin words, and begin different words."""
+    size = word_ids().size
+    found = np.zeros(3 * size, np.int64)
     for batch in source:
-        words, n = columns(batch, "word", "n")
-        ids = bpe.encode(words)
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-        found += np.bincount(flat, np.repeat(n, [len(i) // 4 for i in ids]), len(found)).astype(np.int64)
+        flat, counts, n = _real(batch)
+        first = flat[np.cumsum(counts) - counts]
+        found[:size] += np.bincount(flat, np.repeat(n, counts), size).astype(np.int64)
+        found[size : 2 * size] += np.bincount(first, n, size).astype(np.int64)
+        found[2 * size :] += np.bincount(first, minlength=size)
     for i in np.flatnonzero(found).tolist():
         yield i, int(found[i])
 
 
-def _pair_counts(lex: attention.Lexicon):
+def _followers(lex: attention.Lexicon):
+    """How often a column follows a column inside different words: spelling is for rare words."""
+
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        bpe, width = word_bpe(), attention.TOP + attention.CLASSES
-        found = np.zeros((attention.ROWS + 2) * width, np.float64)
         for batch in source:
-            words, n = columns(batch, "word", "n")
-            ids = bpe.encode(words)
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-            if not len(flat):
-                continue
-            lens = np.array([len(i) // 4 for i in ids])
-            row = np.concatenate([[attention.ROWS - 1], lex.row(flat)[:-1]])  # every word's last piece is an end
-            # spelling is for rare words: each different word counts once, and beginnings by their words' counts as well
-            column = lex.column(flat)
-            found[: -2 * width] += np.bincount(row * width + column, minlength=attention.ROWS * width)
-            begin = row == attention.ROWS - 1
-            found[-2 * width : -width] += np.bincount(column[begin], np.repeat(n, lens)[begin], width)
-            found[-width:] += np.bincount(column[begin], minlength=width)
-        for i in np.flatnonzero(found).tolist():
-            yield i, int(found[i])
+            flat, counts, _ = _real(batch)
+            if len(flat):
+                column = lex.column[flat].astype(np.int64)
+                after = np.append(column[1:], STOP)
+                after[np.cumsum(counts) - 1] = STOP
+                cells, n = np.unique(column * (ROWS + 1) + after, return_counts=True)
+                yield from zip(cells.tolist(), n.tolist())
 
     return rows
 
 
-_CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
-
-
-def _windows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The windows of each whole text, as they are scored: the number of ids that stand in the window before as well,
-    and WINDOW + 1 ids, the last window padded with -1."""
-    bpe, w, stride = word_bpe(), attention.WINDOW, attention.WINDOW - attention.OVERLAP
+def _texts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[WordIds, list[int], np.ndarray]]:
+    """For each slice of texts the table of words, each text's number of words, and all words' numbers."""
+    known = word_ids()
     for big in source:
-        for batch in slices(big, "text", 1 << 20):
-            for doc_id, text in zip(*columns(batch, "doc_id", "text")):
-                ids = np.frombuffer(b"".join(bpe.encode(word_bytes(text))), "<u4").astype(np.int32)
-                n = len(ids) + 1  # ids to learn, the text's end among them
-                many = 1 + max(n - w + stride - 1, 0) // stride
-                seq = np.full((many - 1) * stride + w + 1, -1, np.int32)
-                seq[: n + 1] = np.concatenate([[bpe.size], ids, [bpe.size + 1]])
-                for k in range(many):
-                    again = np.int32(attention.OVERLAP if k else 0)
-                    yield zlib.crc32(b"window %d %d" % (doc_id, k)), again.tobytes() + seq[k * stride : k * stride + w + 1].tobytes()
-
-
-def _ids(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of windows, and which of all but the first are to be learned there."""
-    table = np.frombuffer(b"".join(held), np.int32).reshape(len(held), -1)
-    seq = table[:, 1:]
-    return seq, (seq[:, 1:] >= 0) & (np.arange(seq.shape[1] - 1) >= table[:, :1])
+        for batch in slices(big, "text", SLICE):
+            known.forget()
+            split = list(map(word_bytes, columns(batch, "text")[0]))
+            yield known, list(map(len, split)), known.numbers(list(chain.from_iterable(split)))
 
 
 def _company(rank: np.ndarray):
-    """How often frequent ids stand in the same window as the most frequent ones."""
+    """How often frequent ids stand in the same segment of a text as the most frequent ones."""
+    top, few = attention.TOP, attention.COMPANY
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        found, n = np.zeros((attention.TOP, attention.COMPANY)), 0
-        for batch in source:
-            held = columns(batch, "ids")[0]
-            for i in range(0, len(held), 256):
-                seq = _ids(held[i : i + 256])[0]
-                place = np.where(seq >= 0, rank[np.maximum(seq, 0)], attention.TOP)
-                at = np.arange(len(seq))[:, None] * (attention.TOP + 1) + np.minimum(place, attention.TOP)
-                bags = np.bincount(at.ravel(), minlength=len(seq) * (attention.TOP + 1)).reshape(len(seq), -1)[:, :-1].astype(np.float32)
-                both = bags.T @ bags[:, : attention.COMPANY]
-                both[np.arange(attention.COMPANY), np.arange(attention.COMPANY)] -= bags[:, : attention.COMPANY].sum(axis=0)
-                found, n = found + both, n + len(seq)
+        found, n = np.zeros((top, few)), 0
+        for known, lengths, numbers in _texts(source):
+            if not len(numbers):
+                continue
+            many = -(-np.array(lengths) // SEGMENT)
+            inside = np.concatenate([np.arange(k) // SEGMENT for k in lengths])
+            segment = np.repeat(np.cumsum(many) - many, lengths) + inside
+            counts, start = known.counts.all, np.cumsum(known.counts.all) - known.counts.all
+            k = counts[numbers]
+            ids = known.ids.all[np.repeat(start[numbers] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            place, owner = np.minimum(rank[ids], top), np.repeat(segment, k)
+            for a in range(0, int(many.sum()), 512):
+                b = np.searchsorted(owner, [a, a + 512])
+                bags = np.bincount((owner[b[0] : b[1]] - a) * (top + 1) + place[b[0] : b[1]], minlength=512 * (top + 1)).reshape(512, -1)[:, :top].astype(np.float32)
+                both = bags.T @ bags[:, :few]
+                both[np.arange(few), np.arange(few)] -= bags[:, :few].sum(axis=0)
+                found += both
+            n += int(many.sum())
         if n:
             yield TaskContext.get().partitionId() % 16, n, pickle.dumps({"company": found})
 
@@ -142,31 +149,23 @@ def _company(rank: np.ndarray):
 def _train(model: bytes, lex: attention.Lexicon, rate: float):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         p = pickle.loads(model)
-        adam, n, held = attention.Adam(p, rate), 0, []
-
-        def learn(some: list[bytes]) -> None:
-            seq, wanted = _ids(some)
-            real = np.maximum(seq, 0)
-            _, g = attention.gradient(p, lex.column(real[:, :-1]), lex.prior[lex.row(real[:, :-1])], lex.klass[real[:, 1:]].astype(np.int64), wanted.astype(np.float32))
-            adam.step(g)
-
-        for batch in source:
-            held += columns(batch, "ids")[0]
-            while len(held) >= 64:
-                learn(held[:64])
-                held, n = held[64:], n + 64
-        if held:
-            learn(held)
-            n += len(held)
+        adam, n = attention.Adam(p, rate), 0
+        for known, lengths, numbers in _texts(source):
+            counts = known.counts.all.copy()
+            counts[[START, END]] = 1
+            ids = known.ids.all
+            column = np.concatenate([np.full(2, attention.COLUMNS - 1), lex.column[ids]])
+            klass = np.append(lex.klass[ids], END_CLASS)[np.cumsum(known.counts.all) - known.counts.all]
+            ends = np.cumsum(lengths)
+            stream, target = np.insert(numbers, ends - lengths, START), np.insert(klass[numbers], ends, END_CLASS)
+            attention.train(p, adam, stream, target, np.array(lengths) + 1, (column, counts))
+            n += len(stream)
         if n:
-            yield TaskContext.get().partitionId() % 16, n, pickle.dumps({k: v * n for k, v in p.items()})
+            yield TaskContext.get().partitionId() % 16, n, pickle.dumps({k: v * np.float64(n) for k, v in p.items()})
 
     return rows
 
 
-_WEIGHTS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
-
-
 def _add(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     total, n = None, 0
     for batch in source:
@@ -178,137 +177,154 @@ def _add(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield 0, n, pickle.dumps(total)
 
 
-def _summed(windows: DataFrame, run) -> tuple[int, dict[str, np.ndarray]]:
-    """Sums of what the tasks over the windows yield, by way of four tasks."""
+def _summed(texts: DataFrame, name: str, run) -> tuple[int, dict[str, np.ndarray]]:
+    """Sums of what the tasks over the texts yield, by way of four tasks."""
     ddl = "part int, n long, weights binary"
-    sums = windows.select("ids").mapInArrow(lambda s: batches(run(s), _WEIGHTS, 8), ddl)
-    sums = sums.repartition(4, "part").mapInArrow(lambda s: batches(_add(s), _WEIGHTS, 8), ddl).collect()
-    parts = [pickle.loads(r["weights"]) for r in sums]
-    return sum(r["n"] for r in sums), {k: sum(p[k] for p in parts) for k in (parts[0] if parts else ())}
-
-
-def train(docs: DataFrame, words: DataFrame, scratch: Scratch) -> tuple[dict[str, np.ndarray], attention.Lexicon, np.ndarray, np.ndarray]:
-    """The attention model of the learning texts (doc_id, text) and their word counts; by the class that words begin
-    with their number, and the number of different ones."""
-    bpe = word_bpe()
-    counts = np.zeros(bpe.size + 2)
-    got = _sum_partials(words.mapInArrow(lambda s: batches(_subword_counts(s), _CELL, 20000), "cell long, n long"), "", "cell").collect()
+    sums = _mapped(texts.select("text"), name, run, _WEIGHTS, ddl, 8)
+    parts = _mapped(sums.repartition(4, "part"), f"add_{name}", _add, _WEIGHTS, ddl, 8).collect()
+    held = [pickle.loads(r["weights"]) for r in parts]
+    return sum(r["n"] for r in parts), {k: sum(p[k] for p in held) for k in (held[0] if held else ())}
+
+
+class Model:
+    """Attention weights, and the counts of classes and of ids in words as log-probabilities."""
+
+    def __init__(self, weights: dict[str, np.ndarray], lex: attention.Lexicon, first: np.ndarray, after: np.ndarray, total: np.ndarray, left: np.ndarray):
+        self.weights, self.lex = weights, lex
+        self.first = first  # of each id, among the different words that begin with its class
+        self.after = after  # (row, column): of what follows in a word
+        self.total = total  # count of each class, and FLOOR
+        self.left = left  # what the class leaves to spelling
+
+    def spelt(self, flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Log-probability of each word, given its class, by spelling."""
+        stop = np.cumsum(counts)
+        column = self.lex.column[flat]
+        after = np.append(column[1:], STOP)
+        after[stop - 1] = STOP
+        inside = self.lex.inside[flat]
+        inside[stop - counts] = 0
+        first = flat[stop - counts]
+        return self.left[self.lex.klass[first]] + self.first[first] + np.add.reduceat(self.after[column, after] + inside, stop - counts)
+
+
+def learn(texts: DataFrame, words: DataFrame, strength: float = 4.0) -> Model:
+    """The model of the learning texts (key, text) and their word counts."""
+    size = word_ids().size
+    counts = np.zeros(3 * size)
+    got = _mapped(words, "id_counts", _id_counts, _CELL, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts[[r[0] for r in got]] = [r[1] for r in got]
-    counts[-1] = counts[-2] = words.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    windows = scratch.save(docs.mapInArrow(lambda s: batches(_windows(s), pa.schema([("h", pa.int64()), ("ids", pa.binary())]), 2000), "h long, ids binary"), "windows")
-    company = _company(attention.ranks(counts))
-    company = _summed(windows, company)[1].get("company", np.zeros((attention.TOP, attention.COMPANY)))
-    lex = attention.lexicon(counts, np.concatenate([bpe.ends, [True, True]]), attention.groups(company))
-    pairs = np.zeros((attention.ROWS + 2, attention.TOP + attention.CLASSES), np.float32)
-    got = _sum_partials(words.mapInArrow(lambda s: batches(_pair_counts(lex)(s), _CELL, 20000), "cell long, n long"), "", "cell").toPandas()
-    # the text's end comes where a word could begin
-    pairs.ravel()[got["cell"].to_numpy()] = got["n"].to_numpy()
-    pairs[-2:, lex.column(np.array([lex.end]))[0]] += np.array([counts[-1], counts[-1] > 0], np.float32)
-    pairs, kinds = pairs[:-1], pairs[-1]
-
-    def by_class(row: np.ndarray) -> np.ndarray:
-        return np.bincount(lex.klass, np.where(lex.top < attention.TOP, row[np.minimum(lex.top, attention.TOP - 1)], 0), attention.CLASSES) + row[attention.TOP :]
-
-    attention.conditional(lex, pairs, counts)
-    begun, kinds = by_class(pairs[-1]), by_class(kinds)
-    p = attention.initial()
-    small = attention.Lexicon(lex.top, lex.klass, lex.inside, lex.ends, lex.prior)
+    counts, begun, kinds = counts.reshape(3, size)
+    ends = words.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
+    company = _summed(texts, "company", _company(attention.ranks(counts)))[1].get("company", np.zeros((attention.TOP, attention.COMPANY)))
+    lex = attention.lexicon(counts, attention.groups(company))
+    follow = np.zeros((ROWS, ROWS + 1), np.float32)
+    got = _mapped(words, "followers", _followers(lex), _CELL, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    follow.ravel()[got["cell"].to_numpy()] = got["n"].to_numpy()
+    base = follow.sum(axis=0) + 0.1
+    after = np.log((follow + strength * base / base.sum()) / (follow.sum(axis=1, keepdims=True) + strength)).astype(np.float32)
+    by_class = lambda x: np.bincount(lex.klass, x, attention.CLASSES)
+    tokens, different = by_class(begun), by_class(kinds)
+    total, left = tokens + FLOOR, np.log((DISCOUNT * different + FLOOR) / (tokens + FLOOR))
+    first = np.log((kinds + 0.1) / by_class(kinds + 0.1)[lex.klass])
+    tokens[END_CLASS] = ends
+    p = attention.initial((tokens + 1) / (tokens + 1).sum())
     for turn in range(ROUNDS):
-        n, total = _summed(windows.where(F.col("h") % ROUNDS == turn), _train(pickle.dumps(p), small, 0.01 / (1 + turn)))
+        n, sums = _summed(texts.where(F.pmod(F.col("key"), F.lit(ROUNDS)) == turn), f"train_{turn}", _train(pickle.dumps(p), lex, 0.01 / (1 + turn)))
         if n:
-            p = {k: v / np.float32(n) for k, v in total.items()}
-    scratch.drop("windows")
-    return p, lex, begun, kinds
-
-
-def _memory(words: list[bytes], n: np.ndarray, lex: attention.Lexicon, begun: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-probabilities of frequent words in the class that they begin with, 0 counts at the end; what each class
-    leaves to spelling, and what a count weighs in it."""
-    ids = word_bpe().encode(words)
-    first = np.array([int.from_bytes(i[:4], "little") if i else lex.end if w == END else -1 for w, i in zip(words, ids)], np.int64)
-    kept = np.where(first >= 0, n - DISCOUNT, 0.0)
-    total = begun + 1
-    memory = np.append(np.log(np.maximum(kept / total[lex.klass[first]], 1e-300)), -1e9)
-    return memory, np.log(1 - np.maximum(begun - DISCOUNT * kinds, 0) / total), -np.log(total)
-
-
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("gains", pa.list_(pa.list_(pa.float64())))])
+            p = {k: (v / n).astype(np.float32) for k, v in sums.items()}
+    return Model(p, lex, first, after, total, left)
+
+
+class _Scored:
+    """What the model and the frequent words' counts say about each word of a worker's table, worked out once a word."""
+
+    def __init__(self, model: Model, frequent: dict[bytes, int], ends: int):
+        self.model, self.frequent, self.ends = model, frequent, ends
+        self.scorer, self.life = attention.Scorer(model.weights), -1
+
+    def update(self, known: WordIds) -> None:
+        if self.life != known.life:
+            self.life = known.life
+            self.klass, self.own, self.base, self.listed, self.gain = Grown(np.int32), Grown(np.float64), Grown(np.float64), Grown(bool), Grown(np.float64)
+            self.maps = Grown(np.float32, 4 * attention.WIDTH)
+            # the text's start, which is no token, and its end, which is a class of its own
+            self.klass.add(np.full(2, END_CLASS))
+            self.own.add(np.zeros(2))
+            self.base.add(np.full(2, np.log10(self.ends + 0.1)))
+            self.listed.add(np.ones(2, bool))
+            self.gain.add(np.zeros(2))
+            self.maps.add(self.scorer.maps_of(np.full(2, attention.COLUMNS - 1), np.ones(2, np.int64)))
+        done, counts = self.klass.n, known.counts.all
+        if done == len(counts):
+            return
+        m, counts = self.model, counts[done:]
+        flat = known.ids.all[known.ids.n - int(counts.sum()) :].astype(np.int64)
+        n = np.array([self.frequent.get(w, 0) for w in known.words[done:]], float)
+        klass, spelt = m.lex.klass[flat[np.cumsum(counts) - counts]], m.spelt(flat, counts)
+        held = np.log(np.maximum(n - DISCOUNT, 1e-300) / m.total[klass])
+        self.klass.add(klass)
+        self.own.add(np.where(n > 0, np.logaddexp(spelt, held), spelt))
+        self.base.add(np.where(n > 0, np.log10(n + 0.1), 0.0))
+        self.listed.add(n > 0)
+        self.gain.add(-np.log(m.total[klass]) - spelt)  # of one count in memory over spelling
+        self.maps.add(self.scorer.maps_of(m.lex.column[flat], counts))
 
 
 def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text, learning from rows whose
     crc32(doc_id) mod `fold` is not 0.
 
-    Null texts are empty: one token, the end.  Repeated rows count and are scored as often as they occur.  With nothing
-    to learn from, base scores are 0 where no count exists and the model keeps its initial weights.  Rows without a
-    doc_id are left out; other columns are not looked at.
+    Null texts are empty: one token, the end.  Texts of any length are read whole.  Repeated rows count and are scored
+    as often as they occur.  With nothing to learn from, base scores are 0 where no count exists and the model keeps
+    its initial weights; an empty table gives no rows.  Rows without a doc_id are left out; other columns are not
+    looked at.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (crc_mod("doc_id", fold) == 0).alias("held_out"))
-    learn = docs.where(~F.col("held_out")).select("doc_id", "text")
-    words = scratch.save(_sum_partials(learn.mapInArrow(lambda s: batches(_count_words(s), _WORDS, 20000), "word binary, n long"), "", "word"), "words")
-    n_train, kinds = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    frequent = {bytes(r["word"]): r["n"] for r in words.orderBy(F.desc("n"), "word").limit(head).collect()}
-    p, lex, begun, different = train(learn, words, scratch)
-    shared = spark.sparkContext.broadcast((frequent, p, lex, begun, different))
+    texts = docs.where(~F.col("held_out")).select(F.xxhash64("doc_id").alias("key"), "text")
+    words = scratch.save(_mapped(texts.select("text"), "count_words", _count_words, _WORDS, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    n_train, kinds, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
+    frequent = {bytes(r["word"]): r["n"] for r in words.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(head).collect()}
+    shared = spark.sparkContext.broadcast((learn(texts, words), frequent, ends))
     below = float(np.log10(n_train + 0.1 * (kinds + 1)))
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        counts, weights, lexicon, begun, different = shared.value
-        index = {w: i for i, w in enumerate(counts)}
-        n = np.array([*counts.values(), 1], float)  # the last is for words outside the list
-        base = np.log10(n + 0.1)
-        base[-1] = 0.0
-        scorer, bpe = attention.Scorer(weights, lexicon), word_bpe()
-        memory, spelling, unit = _memory(list(counts), n[:-1], lexicon, begun, different)
+        known, scored = word_ids(), _Scored(*shared.value)
         row = TaskContext.get().partitionId() << 36
         for big in source:
-            for batch in slices(big, "text", 1 << 20):
+            for batch in slices(big, "text", SLICE):
+                known.forget()
                 ids, texts, held = columns(batch, "doc_id", "text", "held_out")
-                split = [[*word_bytes(t), END] for t in texts]
-                whole = list(chain.from_iterable(split))
-                pieces = bpe.encode(whole)
-                n_words = np.fromiter(map(len, split), np.int64, len(split))
-                last = np.cumsum(n_words) - 1
-                lens = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-                flat = np.frombuffer(b"".join(pieces), "<u4").astype(np.int64)
-                like, of_class = scorer.score(np.split(flat, np.cumsum(lens)[last[:-1]]))
-                like = np.concatenate([[0.0], np.cumsum(like)])
-                at = np.fromiter(map(index.get, whole, repeat(-1)), np.int64, len(whole))
-                first = last - n_words + 1
-                # the ids with the texts' ends, and where each word begins; a word without ids is as likely as not
-                ended = np.insert(flat, np.cumsum(lens)[last], lexicon.end)
-                lens[last] += 1
-                stop = np.cumsum(lens)
-                begin = np.minimum(stop - lens, len(ended) - 1)
-                klass = lexicon.klass[ended[begin]]
-                spelt = like[stop] - like[stop - lens] + np.where(lens > 0, spelling[klass], math.log(0.5))
-                recalled = np.where(lens > 0, of_class[begin], -1e9)
-                like = np.logaddexp(spelt, recalled + memory[at]) / math.log(10)
-                scores, bases, known = (np.add.reduceat(x, first).tolist() for x in (like, base[at], (at >= 0).astype(np.int64)))
-                outside = np.flatnonzero(at < 0)
-                gain = (recalled + unit[klass] - spelt)[outside].tolist()  # of one count in memory over spelling
-                cuts = np.searchsorted(outside, [*first, len(whole)]).tolist()
-                outside = outside.tolist()
-                for i, (doc_id, h, n_own) in enumerate(zip(ids, held, n_words.tolist())):
-                    rare: dict[bytes, list[float]] = {}
-                    for k in range(cuts[i], cuts[i + 1]):
-                        rare.setdefault(whole[outside[k]], []).append(gain[k])
-                    yield row, doc_id, h, n_own, known[i], bases[i], scores[i], list(rare), list(rare.values())
+                split = list(map(word_bytes, texts))
+                numbers = known.numbers(list(chain.from_iterable(split)))
+                scored.update(known)
+                lengths = np.fromiter(map(len, split), np.int64, len(split))
+                stops = np.cumsum(lengths)
+                tokens = np.insert(numbers, stops, END)
+                maps = scored.maps.all[np.insert(numbers, stops - lengths, START)]
+                like = scored.scorer.score(maps, scored.klass.all[tokens], lengths + 1) + scored.own.all[tokens]
+                listed = scored.listed.all[tokens]
+                first = np.cumsum(lengths + 1) - lengths - 1
+                scores, bases, n_known = (np.add.reduceat(x, first).tolist() for x in (like / np.log(10), scored.base.all[tokens], listed.astype(np.int64)))
+                if not scored.ends:
+                    n_known = [n - 1 for n in n_known]
+                outside = np.flatnonzero(~listed)
+                cuts = np.searchsorted(outside, np.append(first, len(tokens))).tolist()
+                outside, gain = tokens[outside].tolist(), scored.gain.all
+                for i, (doc_id, h, n) in enumerate(zip(ids, held, lengths.tolist())):
+                    rare = Counter(outside[cuts[i] : cuts[i + 1]])
+                    yield row, doc_id, h, n + 1, n_known[i], bases[i], scores[i], [known.words[k] for k in rare], list(rare.values()), gain[list(rare)].tolist()
                     row += 1
 
-    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, gains array<array<double>>"
-    scored = scratch.save(docs.mapInArrow(lambda s: batches(rows(s), _SCORED, 1000), ddl), "scored")
+    ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<bigint>, gains array<double>"
+    scored = scratch.save(_mapped(docs, "score_texts", rows, _SCORED, ddl, 1000), "scored")
     # words outside the frequent list: none of them is in very many texts, or it would be in the list
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "gains")).alias("r")).select("row", F.col("r.rare").alias("word"), F.size("r.gains").alias("times"), F.col("r.gains").alias("gains"))
-
-    def added(g: Column) -> Column:
-        """Log of what spelling and memory give together over what spelling gives."""
-        g = g + F.log(F.col("n") - DISCOUNT)
-        return F.greatest(g, F.lit(0.0)) + F.log1p(F.exp(-F.abs(g)))
-
-    score = F.when(F.col("n").isNotNull(), F.aggregate("gains", F.lit(0.0), lambda s, g: s + added(g)) / math.log(10)).otherwise(0.0)
-    found = rare.join(words, "word", "left").select("row", score.alias("score_more"), (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("base_more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known_more"))
+    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times", "gains")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times", "r.gains")
+    # log of what spelling and memory give together over what spelling gives
+    more = F.col("gains") + F.log(F.col("n") - DISCOUNT)
+    more = F.col("times") * (F.greatest(more, F.lit(0.0)) + F.log1p(F.exp(-F.abs(more)))) / float(np.log(10))
+    found = rare.join(words, "word", "left").select("row", F.coalesce(more, F.lit(0.0)).alias("score_more"), (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("base_more"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known_more"))
     more = found.groupBy("row").agg(F.sum("base_more").alias("base_more"), F.sum("known_more").alias("known_more"), F.sum("score_more").alias("score_more"))
     out = scored.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(more, "row", "left")
     return out.select(

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from confero.llm import attention, bpe, fingerprint, language, lm, mtree, neardup, packing, quality, toxicity, warc
+from confero.llm import attention, bpe, fingerprint, language, lm, mtree, neardup, packing, quality, toxicity, warc, wordids
 
 DOCS = "doc_id long, text string, lang string, source string, score double, bucket long"
 
@@ -311,29 +311,133 @@ def test_quality(spark):
 
 def test_attention_gradient():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in attention.initial().items()}
-    x, y = rng.integers(0, 50, (3, attention.WINDOW)), rng.integers(0, attention.CLASSES, (3, attention.WINDOW))
-    prior, weight = rng.normal(size=(3, attention.WINDOW, attention.CLASSES)), np.ones((3, attention.WINDOW))
-    _, g = attention.gradient(p, x, prior, y, weight)
-    for name in attention.NAMES:
-        at = tuple(rng.integers(0, n) for n in p[name].shape) if name != "E" else (int(x[0, 0]), 1)
-        q = {k: v.copy() for k, v in p.items()}
-        q[name][at] += 1e-4
-        up = attention.gradient(q, x, prior, y, weight)[0]
-        q[name][at] -= 2e-4
-        assert (up - attention.gradient(q, x, prior, y, weight)[0]) / 2e-4 == pytest.approx(g[name][at], rel=0.05, abs=1e-5)
-
-
-def test_lm_windows():
+    p = {k: v.astype(np.float64) for k, v in attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES)).items()}
+    x = rng.normal(size=(3, attention.WINDOW, attention.WIDTH))
+    y, asked = rng.integers(0, attention.CLASSES, (3, attention.WINDOW)), rng.random((3, attention.WINDOW)) < 0.8
+    loss = lambda q, x: attention.gradient(q, x, y, asked)[0]
+    _, g, dx = attention.gradient(p, x, y, asked)
+    for name in g:
+        at = tuple(rng.integers(0, n) for n in p[name].shape)
+        step = np.zeros_like(p[name])
+        step[at] = 1e-5
+        assert (loss(p | {name: p[name] + step}, x) - loss(p | {name: p[name] - step}, x)) / 2e-5 == pytest.approx(g[name][at], rel=0.02, abs=1e-6), name
+    step = np.zeros_like(x)
+    step[1, 5, 2] = 1e-5
+    assert (loss(p, x + step) - loss(p, x - step)) / 2e-5 == pytest.approx(dx[1, 5, 2], rel=0.02, abs=1e-6)
+
+
+def test_attention_windows():
+    for lengths in ([1], [2, 31, 32, 33], [56, 57, 8, 300]):
+        lengths = np.array(lengths)
+        at, asked = attention.windows(lengths)
+        assert sorted(at[asked].tolist()) == list(range(lengths.sum()))  # each input once
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        assert (text[at] == text[at[:, :1]]).all()  # no window leaves its text
+        start = (np.cumsum(lengths) - lengths)[text[at[:, 0]]]
+        for row, ask, first in zip(at, asked, start):
+            for j in np.flatnonzero(ask):
+                assert j >= min(attention.OVERLAP, row[j] - first)
+
+
+def plain_attention(p, columns, inputs):
+    """Class log-probabilities after each input of one text, position by position, over the windows that hold it."""
+    d, w, stride = attention.WIDTH, attention.WINDOW, attention.WINDOW - attention.OVERLAP
+    x = np.array([np.mean([p["E"][c] for c in columns[i]], axis=0) for i in inputs], float)
+    out = []
+    for t in range(len(inputs)):
+        nth = 0 if t < w else 1 + (t - w) // stride
+        begin = nth * stride
+        s = np.array([x[t] @ p["Wq"] @ (x[u] @ p["Wk"]) / d**0.5 + p["rel"][t - u] for u in range(begin, t + 1)])
+        a = np.exp(s - s.max())
+        g = (a / a.sum()) @ (x[begin : t + 1] @ p["Wv"]) + x[t] @ p["Wr"]
+        z = g @ p["U"] + p["b"]
+        out.append(z - z.max() - np.log(np.exp(z - z.max()).sum()))
+    return out
+
+
+def test_lm_scores_are_those_of_a_plain_model():
+    """Texts scored in windows and by tables, against loops over words and ids."""
+    rng = random.Random(23)
+    texts = ["", "one", *(" ".join(rng.choice(["red", "blue", "house", "ünder", f"u{i}"]) for _ in range(n)) for i, n in enumerate((3, 31, 32, 33, 90, 200)))]
+    model, frequent, ends = small_model(texts)
+    scored, known = lm._Scored(model, frequent, ends), wordids.WordIds()
+    split = [words(t) for t in texts]
+    numbers = known.numbers([w.encode() for ws in split for w in ws])
+    scored.update(known)
+    lengths = np.array([len(ws) for ws in split])
+    tokens = np.insert(numbers, np.cumsum(lengths), wordids.END)
+    like = scored.scorer.score(scored.maps.all[np.insert(numbers, np.cumsum(lengths) - lengths, wordids.START)], scored.klass.all[tokens], lengths + 1) + scored.own.all[tokens]
+    want = []
+    for ws in split:
+        ids = [known.encode([w.encode()])[0].tolist() for w in ws]
+        columns = [[attention.COLUMNS - 1], *([int(model.lex.column[i]) for i in x] for x in ids)]
+        log_p = plain_attention(model.weights, columns, range(len(columns)))
+        for t, (w, x) in enumerate(zip(ws, ids)):
+            c = int(model.lex.klass[x[0]])
+            spelt = model.left[c] + model.first[x[0]]
+            for i, j in zip(x, x[1:]):
+                spelt += model.after[model.lex.column[i], model.lex.column[j]] + model.lex.inside[j]
+            p = np.exp(spelt + model.after[model.lex.column[x[-1]], lm.STOP])
+            if w.encode() in frequent:
+                p += (frequent[w.encode()] - lm.DISCOUNT) / model.total[c]
+            want.append(log_p[t][c] + np.log(p))
+        want.append(log_p[len(ws)][lm.END_CLASS])
+    assert like.tolist() == pytest.approx(want, abs=1e-3)
+
+
+def small_model(texts):
+    """A model of some texts, learned without Spark."""
     import pyarrow as pa
 
-    bpe, texts = lm.word_bpe(), ["", "one", "é " * 39, *(" ".join(f"word{i} red" for i in range(n)) for n in (10, 16, 20, 24, 700))]
-    rows = [(i, ids) for i, t in enumerate(texts) for _, ids in lm._windows(iter([pa.RecordBatch.from_pydict({"doc_id": [i], "text": [t]})]))]
-    for i, t in enumerate(texts):
-        ids = np.frombuffer(b"".join(bpe.encode(lm.word_bytes(t.encode()))), "<u4").tolist()
-        seq, wanted = lm._ids([x for k, x in rows if k == i])
-        assert seq.shape[1] == attention.WINDOW + 1 and seq[0, 0] == bpe.size
-        assert seq[:, 1:][wanted].tolist() == [*ids, bpe.size + 1]  # every id and the end, once and in order
+    count = {}
+    for t in texts:
+        for w in words(t):
+            count[w.encode()] = count.get(w.encode(), 0) + 1
+    batch = pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.binary()), "n": list(count.values())})
+    size = wordids.word_ids().size
+    cells = np.zeros(3 * size)
+    for cell, n in lm._id_counts(iter([batch])):
+        cells[cell] += n
+    counts, begun, kinds = cells.reshape(3, size)
+    lex = attention.lexicon(counts, np.random.default_rng(1).integers(0, attention.GROUPS, attention.TOP))
+    follow = np.zeros((lm.ROWS, lm.ROWS + 1))
+    for cell, n in lm._followers(lex)(iter([batch])):
+        follow.ravel()[cell] += n
+    base = follow.sum(axis=0) + 0.1
+    after = np.log((follow + 4 * base / base.sum()) / (follow.sum(axis=1, keepdims=True) + 4))
+    by_class = lambda x: np.bincount(lex.klass, x, attention.CLASSES)
+    total, left = by_class(begun) + lm.FLOOR, np.log((lm.DISCOUNT * by_class(kinds) + lm.FLOOR) / (by_class(begun) + lm.FLOOR))
+    first = np.log((kinds + 0.1) / by_class(kinds + 0.1)[lex.klass])
+    weights = attention.initial(np.full(attention.CLASSES, 1 / attention.CLASSES))
+    return lm.Model(weights, lex, first, after, total, left), count, len(texts)
+
+
+def test_lm_is_a_distribution():
+    """What the model gives to a class's words, read or spelt, and to what may follow in a word, sums to one."""
+    model, frequent, _ = small_model(["red blue house under underneath red red", "blue haus " * 9])
+    lex, known = model.lex, wordids.word_ids()
+    assert np.exp(model.after).sum(axis=1) == pytest.approx(1, abs=1e-5)
+    for band in range(attention.BANDS):
+        assert np.exp(lex.inside[lex.column == attention.TOP + band]).sum() == pytest.approx(1)
+    flat, counts = known.encode(list(frequent))
+    klass = lex.klass[flat[np.cumsum(counts) - counts]]
+    for c in range(attention.CLASSES - 1):
+        assert np.exp(model.first[lex.klass == c]).sum() == pytest.approx(1)
+        held = sum(n - lm.DISCOUNT for n, k in zip(frequent.values(), klass) if k == c) / model.total[c]
+        assert held + np.exp(model.left[c]) == pytest.approx(1)
+
+
+def test_word_ids():
+    known = wordids.WordIds()
+    some = [w for t in ODD for w in words(t)] + ["hello", "hello,", ",", "É", "é", "x" * 5000, "中文" * 700, "\x1c\x85"]
+    numbers = known.numbers([w.encode() for w in some])
+    vocabulary = {i: b for b, i in known.coder._mergeable_ranks.items()}
+    stop = np.cumsum(known.counts.all)
+    for w, k in zip(some, numbers.tolist()):
+        ids = known.ids.all[stop[k] - known.counts.all[k] : stop[k]].tolist()
+        assert b"".join(vocabulary[i] for i in ids) == b" " + w.encode()  # whole, and apart from the next
+        assert ids == known.coder.encode_ordinary(" " + w)
+    assert len(set(numbers.tolist())) == len(set(some))
 
 
 def test_lm(spark):
@@ -351,7 +455,7 @@ def test_lm(spark):
         r = rows[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(count[w] > 0 for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert r["score"] < 0
+        assert -20 * len(ws) - 20 < r["score"] < 0
     assert lm.score_texts(docs(spark, texts).limit(0)).count() == 0
 
 
