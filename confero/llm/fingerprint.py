@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .common import SPACE_PATTERN, table, text_or_empty
 
 #: xxhash64 of an empty list is its seed.
@@ -104,9 +105,21 @@ def fingerprint(all_terms: Column, band: list[int]) -> Column:
     return F.when(F.size(inside) > 0, inside).otherwise(all_terms)
 
 
+#: Subsets that are told apart at a time: terms are first dealt to as many subsets together, then to each.
+TOGETHER = 8
+
+
 def subset_hashes(kept: Column) -> Column:
+    """Hashes of the terms in each subset of each partition of the lexicon, by the bits of a term."""
+
+    def dealt(some: Column, skip: int, parts: int, use) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: use(F.filter(some, lambda x: F.shiftright(x, skip).bitwiseAND(F.lit(parts - 1)) == s)))
+
     def level(skip: int, parts: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: F.xxhash64(F.filter(kept, lambda x: F.shiftright(x, skip).bitwiseAND(F.lit(parts - 1)) == s)))
+        if parts <= TOGETHER:
+            return dealt(kept, skip, parts, F.xxhash64)
+        fine = TOGETHER.bit_length() - 1
+        return F.flatten(dealt(kept, skip + fine, parts // TOGETHER, lambda some: let(some, lambda held: dealt(held, skip, TOGETHER, F.xxhash64))))
 
     return F.concat(*(level(*x) for x in SUBSETS))
 
@@ -121,6 +134,15 @@ def shown(f: Column) -> Column:
     return F.array_join(F.transform(f, lambda x: F.when(x == EMPTY, "").otherwise(F.hex(x))), "-")
 
 
+def below(bounds: list[int], x: Column) -> Column:
+    """How many of the sorted bounds are less than x, in two steps of about the root of their number."""
+    step = math.isqrt(len(bounds)) + 1
+    every = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    less = lambda some: F.size(F.filter(some, lambda b: b < x))
+    coarse = less(F.split(F.lit(",".join(map(str, bounds[::step]))), ",").cast("array<bigint>"))
+    return let(F.greatest(coarse - 1, F.lit(0)) * step, lambda before: before + less(F.slice(every, before + 1, F.lit(step))))
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """Adds the next row's columns (next_*) in descending doc_id, the first row's after the last.
 
@@ -129,7 +151,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     """
     bounds = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], F.lit(20 * buckets)).alias("b")).first()["b"] if buckets > 1 else None
     bounds = sorted(set(bounds or []))
-    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("doc_id"))) if bounds else F.lit(0)
+    at = below(bounds, F.col("doc_id")) if bounds else F.lit(0)
     firsts = sorted((r[0], r[1]) for r in docs.select(at.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id")).collect())
     if not firsts:
         firsts = [(0, 0)]
@@ -145,8 +167,9 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
 def i_match(docs: DataFrame, low: float = 0.005, high: float = 0.05, buckets: int | None = None) -> DataFrame:
     """Fingerprints of whole texts and of their edited texts.
 
-    Null texts are empty.  Equal texts have equal fingerprints.  Rows without a doc_id take no part; an empty
-    table gives no rows; repeated rows each get a row; columns other than doc_id and text are not looked at.
+    Null texts are empty, texts of any length are read whole.  Equal texts have equal fingerprints.  Rows without a
+    doc_id take no part; an empty table gives no rows; repeated rows each get a row, one after another, and rows of one
+    doc_id follow each other by the hash of their texts; columns other than doc_id and text are not looked at.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     band = lexicon(docs, low, high)

@@ -202,6 +202,70 @@ def test_fingerprints(spark):
     assert fingerprint.i_match(docs(spark, ["one"])).first()["near_next"] == 1
 
 
+def plain_fingerprints(rows, low, high):
+    """What i_match says of (doc_id, text), worked out text by text: shown fingerprints and likenesses."""
+    import math
+    import struct
+
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def chained(xs, h=42):
+        for x in xs:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
+        return h
+
+    terms = lambda t: sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words(t)})
+
+    def sketches(ts):
+        for i in range(fingerprint.SKETCHES if ts else 0):
+            place = (i << 64) // fingerprint.SKETCHES - (1 << 63)
+            some = ([x for x in ts if x >= place] + ts if i else ts)[: fingerprint.LEAST]
+            yield i, chained(some, xxhash.xxh64_intdigest(struct.pack("<i", i), 42))
+
+    n, groups, df, shares = len(rows), {}, {}, {}
+    for _, t in rows:
+        for k in sketches(terms(t)):
+            groups[k] = groups.get(k, 0) + 1
+    for _, t in rows:
+        size = max([1, *(groups[k] for k in sketches(terms(t)) if groups[k] >= max(2, math.ceil(fingerprint.GROUP * n)))])
+        for x in terms(t):
+            df[x], shares[x] = df.get(x, 0) + 1, shares.get(x, 0) + max(1, fingerprint.ONE // size)
+    band = {x for x in df if df[x] >= max(2, math.ceil(low * n)) and shares[x] <= max(2, math.floor(high * n)) * fingerprint.ONE}
+
+    def hashes(t):
+        kept = [x for x in terms(t) if x in band] or terms(t)
+        return [chained([x for x in kept if x >> skip & parts - 1 == s]) for skip, parts in fingerprint.SUBSETS for s in range(parts)]
+
+    def like(a, b):
+        both = [x == y for x, y in zip(a, b) if (x, y) != (42, 42)]
+        return sum(both) / len(both) if both else 1.0
+
+    shown = lambda f: "-".join("" if x == 42 else f"{x:X}" for x in f)
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (-r[0], signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    out = []
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        own, edited, after = hashes(t), hashes(t[: len(t) - half] + u[:half]), hashes(u)
+        out.append((i, len(t), shown(own), shown(edited), like(own, edited), like(own, after)))
+    return out
+
+
+def test_fingerprints_against_plain(spark):
+    rng = random.Random(29)
+    text = lambda: " ".join(rng.choice(["red", "blue", "green", f"u{rng.randrange(30)}", f"v{rng.randrange(9)}"]) for _ in range(rng.randint(1, 60)))
+    base = text()
+    rows = [(i, t) for i, t in enumerate([*ODD, *(text() for _ in range(60)), *(base + f" w{k}" for k in range(30)), "long " * 250_000 + base])]
+    rows += [(5, "another"), (5, "another"), (7, None)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows] + [(None, "no id", 1, "x")], "doc_id long, text string, n_chars long, next_text string")
+    want = sorted(plain_fingerprints(rows, 0.02, 0.5))
+    for buckets in (1, 9, 70):
+        got = sorted((r["doc_id"], r["n_chars"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) for r in fingerprint.i_match(df, low=0.02, high=0.5, buckets=buckets).collect())
+        assert [x[:4] for x in got] == [x[:4] for x in want]
+        assert [x[4:] for x in got] == [pytest.approx(x[4:]) for x in want]
+
+
 def test_fingerprints_of_a_large_group(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
