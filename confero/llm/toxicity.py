@@ -50,14 +50,16 @@ class KneserNey:
         return self.__dict__ | {"known": {}}
 
     def fit_counts(self, texts: Iterator[tuple[bytes, int]]) -> None:
-        begin, two = (Counter(), Counter()), (Counter(), Counter())
+        begin, two = (Counter(), Counter()), (Counter(), Counter())  # pairs as one number each: they are the most
+        number: dict[bytes, int] = {}
         for text, y in texts:  # once a document: a name that one text repeats is no evidence
             words = _words(text)
             for w in set(words):
                 w += b"$"
                 begin[y].update([w[:i] for i in range(min(len(w), DEPTH) + 1)])
             begin[y].update({g for w in set(words) if len(w) >= DEPTH for g in _inside(w + b"$")})
-            two[y].update(set(zip(words, words[1:])))
+            own = [number.setdefault(w, len(number)) for w in words]
+            two[y].update({v << 32 | w for v, w in zip(own, own[1:])})
         if not begin[0][b""] or not begin[1][b""]:
             return
 
@@ -90,9 +92,9 @@ class KneserNey:
         after: tuple[Counter, Counter] = (Counter(), Counter())
         lost: tuple[Counter, Counter] = (Counter(), Counter())
         for c in (0, 1):
-            for (v, _), n in two[c].items():
-                after[c][v] += n
-                lost[c][v] += discount(n)
+            for pair, n in two[c].items():
+                after[c][pair >> 32] += n
+                lost[c][pair >> 32] += discount(n)
         spelt: dict[tuple[int, bytes], float] = {}
 
         def whole(c: int, word: bytes) -> float:
@@ -102,13 +104,15 @@ class KneserNey:
                 known = spelt[c, word] = math.prod(p(c, x) for x in [*(w[:i] for i in range(1, min(len(w), DEPTH) + 1)), *(_inside(w) if len(w) > DEPTH else ())])
             return known
 
-        for v, w in {x for counts in two for x, n in counts.items() if n > PAIRS}:
+        spelling = list(number)
+        for pair in {x for counts in two for x, n in counts.items() if n > PAIRS}:
+            v, w = pair >> 32, spelling[pair & 0xFFFFFFFF]
 
             def q(c: int) -> float:
-                one, n = max(whole(c, w), 1e-300), two[c][v, w]
+                one, n = max(whole(c, w), 1e-300), two[c][pair]
                 return max(n - discount(n), 0) / after[c][v] + lost[c][v] / after[c][v] * one if after[c][v] else one
 
-            self.pair[v, w] = math.log(q(1) / q(0))
+            self.pair[spelling[v], w] = math.log(q(1) / q(0))
 
     def ratio(self, word: bytes) -> float:
         """Log-likelihood ratio of a word by itself."""
@@ -176,7 +180,8 @@ def learn(rows: DataFrame) -> KneserNey:
 def score_toxicity(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, threshold: float = 0.3, most: int = MOST) -> DataFrame:
     """doc_id, held_out, score, predicted.  Learns from at most `most` labelled rows whose crc32(doc_id) mod
     `fold` is not `held`.  A null or empty text has no evidence and gets the curve's constant; so do all texts
-    where one class has no labelled row.  Repeated rows each get a row; other columns are not looked at."""
+    where one class has no labelled row.  Texts of any length are read whole; repeated rows each get a row; a score
+    equal to the threshold is toxic; an empty table gives no rows; other columns are not looked at."""
     model = learn(sample(docs, labels, "toxic", crc_mod("doc_id", fold) != held, most))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"))

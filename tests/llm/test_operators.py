@@ -354,6 +354,81 @@ def test_toxicity(spark):
     assert toxicity.score_toxicity(d, l.limit(0)).count() == 402 and toxicity.score_toxicity(d.limit(0), l).count() == 0
 
 
+def plain_kneser_ney(rows):
+    """Log-likelihood ratios of words and of pairs, from counts that are taken anew for each question."""
+    import math
+
+    docs_ = [[w for w in (x.strip(".,;:!?\"'()[]*#$%&|-") for x in t.lower().split()) if w] for t, _ in rows]
+    kinds = [y for _, y in rows]
+    depth = toxicity.DEPTH
+    starts = lambda w: [w[:i] for i in range(min(len(w), depth) + 1)]
+    later = lambda w: [" " + w[i - depth : i] for i in range(depth + 1, len(w) + 1)]
+
+    def count(c, x):  # documents' different words that begin so; documents that hold such letters inside a word
+        if x[:1] == " ":
+            return sum(any(x in later(w + "$") for w in set(ws)) for ws, y in zip(docs_, kinds) if y == c)
+        return sum(starts(w + "$").count(x) for ws, y in zip(docs_, kinds) if y == c for w in set(ws))
+
+    known = {x for ws in docs_ for w in ws for x in starts(w + "$") + later(w + "$") if x}
+    n = {(c, x): count(c, x) for c in (0, 1) for x in known | {""}}
+    d = lambda k: (1.0 if k < 2 else 0.75) if k else 0.0
+
+    def p(c, x):
+        like = [y for y in known if y[-3:] == x[-3:]]
+        shared = (len(like) + 0.5) / (sum(y[-3:-1] == x[-3:-1] for y in known) + 128)
+        after = [y for y in known if y[:-1] == x[:-1]]
+        before = sum(n[c, y] for y in after) if x[:1] == " " else n.get((c, x[:-1]), 0)
+        if not before:
+            return shared
+        return max(n.get((c, x), 0) - d(n.get((c, x), 0)), 0) / before + sum(d(n[c, y]) for y in after) / before * shared
+
+    parts = lambda w: starts(w + "$")[1:] + later(w + "$")
+    whole = lambda c, w: math.prod(p(c, x) for x in parts(w))
+
+    def ratio(w):
+        total, cut = 0.0, False
+        for x in parts(w):
+            seen = n.get((0, x), 0) + n.get((1, x), 0) >= toxicity.RARE
+            cut = cut or (x[:1] != " " and not seen)
+            if seen and (x[:1] == " " or not cut):
+                total += math.log(p(1, x) / p(0, x))
+        return total
+
+    pairs = [{(c, *x) for c in [y] for x in zip(ws, ws[1:])} for ws, y in zip(docs_, kinds)]
+
+    def pair(v, w):
+        def q(c):
+            by = {}
+            for some in pairs:
+                for k, a, b in some:
+                    if k == c and a == v:
+                        by[b] = by.get(b, 0) + 1
+            if not by:
+                return whole(c, w)
+            return (max(by.get(w, 0) - d(by.get(w, 0)), 0) + sum(map(d, by.values())) * whole(c, w)) / sum(by.values())
+
+        return math.log(q(1) / q(0))
+
+    return ratio, pair
+
+
+def test_kneser_ney_against_plain():
+    rng = random.Random(31)
+    rows = [(" ".join(rng.choice(["good", "goods", "fool", "foolishness", "foolishnesses", "and", "so,", "中文字坏人们", f"x{rng.randrange(40)}"] + ["scum"] * (i % 3 == 0)) for _ in range(9)), int(i % 3 == 0)) for i in range(36)]
+    model = toxicity.KneserNey()
+    model.fit_counts((t.encode(), y) for t, y in rows)
+
+    as_bytes = [(t.encode().decode("latin-1"), y) for t, y in rows]  # a letter is a byte
+    ratio, pair = plain_kneser_ney(as_bytes)
+    for w in ("good", "goods", "fool", "foolishnesses", "scum", "scums", "new", "x3", "中文字坏人们", "foolishnesx"):
+        assert model.ratio(w.encode()) == pytest.approx(ratio(w.encode().decode("latin-1"))), w
+    assert len(model.pair) > 5
+    for (v, w), r in model.pair.items():
+        assert r == pytest.approx(pair(v.decode("latin-1"), w.decode("latin-1"))), (v, w)
+    many = b" ".join([b"and"] * 300_000)
+    assert np.isfinite(model.evidence(many)).all() and model.evidence(b"").tolist() == [0, 0, 0]
+
+
 def test_toxicity_of_word_ends():
     texts = [(f"x{i} understanding{'scum' if i % 4 == 0 else 'well'} y{i} {'中文字' * 9}{'坏人' if i % 4 == 0 else '好人'}中{'文' * (i % 5)}".encode(), int(i % 4 == 0)) for i in range(200)]
     model = toxicity.KneserNey()
