@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 
 WINDOW, OVERLAP, WIDTH = 32, 8, 8
-TOP, GROUPS, BANDS = 2048, 27, 4
+TOP, GROUPS, BANDS = 1024, 27, 4
 #: Groups, bands, and the text's end.
 CLASSES = GROUPS + BANDS + 1
 #: What an id is embedded as: itself if it is frequent, else its band; the last is the text's start.
@@ -58,13 +58,16 @@ def groups(company: np.ndarray, rounds: int = 25, seed: int = 5) -> np.ndarray:
     return own
 
 
-def lexicon(counts: np.ndarray, grouped: np.ndarray) -> Lexicon:
-    """From the ids' counts and the groups of the TOP most frequent ids."""
-    rank = ranks(counts)
-    band = np.clip(np.log2(np.maximum(rank - TOP, 0) / TOP + 1), 0, BANDS - 0.01).astype(np.int64)
-    rare = rank >= TOP
+def lexicon(counts: np.ndarray, begun: np.ndarray, grouped: np.ndarray) -> Lexicon:
+    """From the ids' counts, their counts as words' first ids, and the groups of the TOP most frequent first ids."""
+
+    def bands(rank: np.ndarray) -> np.ndarray:
+        return np.clip(np.log2(np.maximum(rank - TOP, 0) / TOP + 1), 0, BANDS - 0.01).astype(np.int64)
+
+    rank, place = ranks(counts), ranks(begun)
+    rare, band = rank >= TOP, bands(rank)
     column = np.where(rare, TOP + band, rank).astype(np.int32)
-    klass = np.where(rare, GROUPS + band, grouped[np.minimum(rank, TOP - 1)]).astype(np.int32)
+    klass = np.where(place >= TOP, GROUPS + bands(place), grouped[np.minimum(place, TOP - 1)]).astype(np.int32)
     mass = np.where(rare, counts + 0.1, 0.0)
     inside = np.zeros(len(counts))
     inside[rare] = np.log(mass[rare] / np.bincount(band, mass, BANDS)[band[rare]])
@@ -162,21 +165,19 @@ def pooled(p: dict[str, np.ndarray], columns: np.ndarray, lengths: np.ndarray) -
     return np.add.reduceat(p["E"][columns], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None].astype(np.float32)
 
 
-def train(p: dict[str, np.ndarray], adam: Adam, stream: np.ndarray, target: np.ndarray, lengths: np.ndarray, words: tuple[np.ndarray, np.ndarray], size: int = 128) -> None:
-    """Steps over all windows of some texts.  stream: words of the inputs, by their place in `words`, which are the
-    columns of all words one after another and each word's number of them; target: the class after each input."""
+def train(p: dict[str, np.ndarray], adam: Adam, columns: np.ndarray, counts: np.ndarray, target: np.ndarray, lengths: np.ndarray, size: int = 128) -> None:
+    """Steps over all windows of some texts, whose inputs stand one after another: the columns of their ids, how many
+    ids each has, and the class after each."""
     at, asked = windows(lengths)
-    columns, counts = words
-    start = np.cumsum(counts) - counts
+    stop = np.cumsum(counts)
     for i in range(0, len(at), size):
         place = at[i : i + size]
-        some, which = np.unique(stream[place], return_inverse=True)
-        n = counts[some]
-        own = columns[np.repeat(start[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        x = pooled(p, own, n)
-        _, g, dx = gradient(p, x[which.reshape(place.shape)], target[place], asked[i : i + size])
-        flat, which = dx.reshape(-1, WIDTH), which.ravel()
-        by_word = np.stack([np.bincount(which, flat[:, j], len(some)) for j in range(WIDTH)], axis=1) / n[:, None]
+        low, high = int(place[0, 0]), int(place[-1].max()) + 1
+        n, own = counts[low:high], columns[stop[low] - counts[low] : stop[high - 1]]
+        place = place - low
+        _, g, dx = gradient(p, pooled(p, own, n)[place], target[low:high][place], asked[i : i + size])
+        flat, place = dx.reshape(-1, WIDTH), place.ravel()
+        by_word = np.stack([np.bincount(place, flat[:, j], len(n)) for j in range(WIDTH)], axis=1) / n[:, None]
         by_id = np.repeat(by_word, n, axis=0)
         g["E"] = np.stack([np.bincount(own, by_id[:, j], COLUMNS) for j in range(WIDTH)], axis=1).astype(np.float32)
         adam.step(g)

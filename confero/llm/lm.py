@@ -7,6 +7,7 @@ sum to no more than one.
 
 Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights are
 trained where the texts are, on overlapping windows over the whole of every such text, and averaged after each round.
+Texts are turned into ids once, for all rounds.
 The most frequent words' counts go to every executor, a bounded list; the rest of the words are joined with their
 counts, and their memory is added there.
 """
@@ -40,7 +41,7 @@ ROWS = attention.TOP + attention.BANDS
 STOP = ROWS
 END_CLASS = attention.CLASSES - 1
 
-_WORDS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+_ENCODED = pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
 _CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 _WEIGHTS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
 _SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("gains", pa.list_(pa.float64()))])
@@ -56,17 +57,34 @@ def _mapped(df: DataFrame, name: str, rows: Callable[[Iterator[pa.RecordBatch]],
     return df.mapInArrow(run, ddl)
 
 
-def _count_words(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    found: Counter = Counter()
+def _encode(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Texts as ids, by key, and now and then the counts of the words seen since."""
+    known, texts = word_ids(), 0
+    n = np.zeros(0, np.int64)
+
+    def counted() -> Iterator[tuple]:
+        for i in np.flatnonzero(n).tolist():
+            yield None, None, known.words[i], int(n[i])
+
     for big in source:
-        for batch in slices(big, "text"):
-            for text in columns(batch, "text")[0]:
-                found.update(word_bytes(text))
-                found[b""] += 1
-            if len(found) > 300_000:
-                yield from found.items()
-                found = Counter()
-    yield from found.items()
+        for batch in slices(big, "text", SLICE):
+            if known.full:
+                yield from counted()
+                n = np.zeros(0, np.int64)
+                known.clear()
+            keys, split = columns(batch, "key")[0], list(map(word_bytes, columns(batch, "text")[0]))
+            numbers = known.numbers(list(chain.from_iterable(split)))
+            more = np.bincount(numbers, minlength=known.counts.n)
+            more[: len(n)] += n
+            n = more
+            ids, stop = known.ids_of(numbers)
+            texts += len(keys)
+            cuts = np.append(0, stop)[np.append(0, np.cumsum(list(map(len, split))))].tolist()
+            for key, a, b in zip(keys, cuts, cuts[1:]):
+                yield key, ids[a:b].tobytes(), None, None
+    yield from counted()
+    if texts:
+        yield None, None, b"", texts
 
 
 def _real(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,32 +125,28 @@ def _followers(lex: attention.Lexicon):
     return rows
 
 
-def _texts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[WordIds, list[int], np.ndarray]]:
-    """For each slice of texts the table of words, each text's number of words, and all words' numbers."""
-    known = word_ids()
+def _texts(source: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For some texts at a time all their ids, how many each word has, and how many words each text has."""
+    opens = word_ids().opens
     for big in source:
-        for batch in slices(big, "text", SLICE):
-            known.forget()
-            split = list(map(word_bytes, columns(batch, "text")[0]))
-            yield known, list(map(len, split)), known.numbers(list(chain.from_iterable(split)))
+        for batch in slices(big, "ids", SLICE):
+            held = columns(batch, "ids")[0]
+            ids = np.frombuffer(b"".join(held), np.uint16).astype(np.int64)
+            start = np.flatnonzero(opens[ids])  # an id that begins with a blank begins a word
+            yield ids, np.diff(np.append(start, len(ids))), np.diff(np.searchsorted(start, np.cumsum([0, *map(len, held)]) // 2))
 
 
 def _company(rank: np.ndarray):
-    """How often frequent ids stand in the same segment of a text as the most frequent ones."""
+    """How often frequent first ids of words stand in the same segment of a text as the most frequent ones."""
     top, few = attention.TOP, attention.COMPANY
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         found, n = np.zeros((top, few)), 0
-        for known, lengths, numbers in _texts(source):
-            if not len(numbers):
-                continue
-            many = -(-np.array(lengths) // SEGMENT)
-            inside = np.concatenate([np.arange(k) // SEGMENT for k in lengths])
-            segment = np.repeat(np.cumsum(many) - many, lengths) + inside
-            counts, start = known.counts.all, np.cumsum(known.counts.all) - known.counts.all
-            k = counts[numbers]
-            ids = known.ids.all[np.repeat(start[numbers] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
-            place, owner = np.minimum(rank[ids], top), np.repeat(segment, k)
+        for ids, counts, lengths in _texts(source):
+            many = -(-lengths // SEGMENT)
+            inside = np.arange(len(counts)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            owner = np.repeat(np.cumsum(many) - many, lengths) + inside // SEGMENT
+            place = np.minimum(rank[ids[np.cumsum(counts) - counts]], top)
             for a in range(0, int(many.sum()), 512):
                 b = np.searchsorted(owner, [a, a + 512])
                 bags = np.bincount((owner[b[0] : b[1]] - a) * (top + 1) + place[b[0] : b[1]], minlength=512 * (top + 1)).reshape(512, -1)[:, :top].astype(np.float32)
@@ -150,16 +164,14 @@ def _train(model: bytes, lex: attention.Lexicon, rate: float):
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         p = pickle.loads(model)
         adam, n = attention.Adam(p, rate), 0
-        for known, lengths, numbers in _texts(source):
-            counts = known.counts.all.copy()
-            counts[[START, END]] = 1
-            ids = known.ids.all
-            column = np.concatenate([np.full(2, attention.COLUMNS - 1), lex.column[ids]])
-            klass = np.append(lex.klass[ids], END_CLASS)[np.cumsum(known.counts.all) - known.counts.all]
+        for ids, counts, lengths in _texts(source):
+            stop = np.cumsum(counts)
             ends = np.cumsum(lengths)
-            stream, target = np.insert(numbers, ends - lengths, START), np.insert(klass[numbers], ends, END_CLASS)
-            attention.train(p, adam, stream, target, np.array(lengths) + 1, (column, counts))
-            n += len(stream)
+            target = np.insert(lex.klass[ids[stop - counts]], ends, END_CLASS)
+            # the text's start is an input of one column
+            first = np.append(0, stop)[ends - lengths]
+            attention.train(p, adam, np.insert(lex.column[ids], first, attention.COLUMNS - 1), np.insert(counts, ends - lengths, 1), target, lengths + 1)
+            n += len(target)
         if n:
             yield TaskContext.get().partitionId() % 16, n, pickle.dumps({k: v * np.float64(n) for k, v in p.items()})
 
@@ -180,7 +192,7 @@ def _add(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _summed(texts: DataFrame, name: str, run) -> tuple[int, dict[str, np.ndarray]]:
     """Sums of what the tasks over the texts yield, by way of four tasks."""
     ddl = "part int, n long, weights binary"
-    sums = _mapped(texts.select("text"), name, run, _WEIGHTS, ddl, 8)
+    sums = _mapped(texts.select("ids"), name, run, _WEIGHTS, ddl, 8)
     parts = _mapped(sums.repartition(4, "part"), f"add_{name}", _add, _WEIGHTS, ddl, 8).collect()
     held = [pickle.loads(r["weights"]) for r in parts]
     return sum(r["n"] for r in parts), {k: sum(p[k] for p in held) for k in (held[0] if held else ())}
@@ -209,15 +221,15 @@ class Model:
 
 
 def learn(texts: DataFrame, words: DataFrame, strength: float = 4.0) -> Model:
-    """The model of the learning texts (key, text) and their word counts."""
+    """The model of the learning texts (key, ids) and their word counts."""
     size = word_ids().size
     counts = np.zeros(3 * size)
     got = _mapped(words, "id_counts", _id_counts, _CELL, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     counts[[r[0] for r in got]] = [r[1] for r in got]
     counts, begun, kinds = counts.reshape(3, size)
     ends = words.where(F.octet_length("word") == 0).agg(F.sum("n")).first()[0] or 0
-    company = _summed(texts, "company", _company(attention.ranks(counts)))[1].get("company", np.zeros((attention.TOP, attention.COMPANY)))
-    lex = attention.lexicon(counts, attention.groups(company))
+    company = _summed(texts, "company", _company(attention.ranks(begun)))[1].get("company", np.zeros((attention.TOP, attention.COMPANY)))
+    lex = attention.lexicon(counts, begun, attention.groups(company))
     follow = np.zeros((ROWS, ROWS + 1), np.float32)
     got = _mapped(words, "followers", _followers(lex), _CELL, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     follow.ravel()[got["cell"].to_numpy()] = got["n"].to_numpy()
@@ -283,10 +295,13 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (crc_mod("doc_id", fold) == 0).alias("held_out"))
     texts = docs.where(~F.col("held_out")).select(F.xxhash64("doc_id").alias("key"), "text")
-    words = scratch.save(_mapped(texts.select("text"), "count_words", _count_words, _WORDS, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    encoded = scratch.save(_mapped(texts, "encode", _encode, _ENCODED, "key long, ids binary, word binary, n long", 2000), "encoded")
+    words = scratch.save(encoded.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    texts = encoded.where("ids is not null").select("key", "ids")
     n_train, kinds, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
     frequent = {bytes(r["word"]): r["n"] for r in words.where(F.octet_length("word") > 0).orderBy(F.desc("n"), "word").limit(head).collect()}
     shared = spark.sparkContext.broadcast((learn(texts, words), frequent, ends))
+    scratch.drop("encoded")
     below = float(np.log10(n_train + 0.1 * (kinds + 1)))
 
     def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

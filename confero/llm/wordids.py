@@ -42,6 +42,19 @@ class Grown:
         return self.held[: self.n]
 
 
+class _Numbers(dict):
+    """Words by number; one that is not there gets the next number."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 2
+        self.new.append(word)
+        return n
+
+
 class WordIds:
     """Words by number: their ids, one after another, and how many each has.  Start and end have none."""
 
@@ -57,7 +70,7 @@ class WordIds:
 
     def clear(self) -> None:
         self.life, self.bytes = self.life + 1, 0
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.words: list[bytes] = [b"", b""]
         self.ids, self.counts = Grown(np.uint16), Grown(np.int64)
         self.counts.add(np.zeros(2, np.int64))
@@ -82,20 +95,30 @@ class WordIds:
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """The words' numbers; new ones are added.  Numbers hold until `forget`."""
-        known = self.number
-        new = list(set(words).difference(known))
-        if new:
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if new := self.number.new:
             flat, counts = self.encode(new)
-            known.update(zip(new, range(self.counts.n, self.counts.n + len(new))))
             self.words += new
             self.bytes += sum(map(len, new))
             self.ids.add(flat)
             self.counts.add(counts)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            self.number.new = []
+        return found
+
+    def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by their numbers, one after another, and where each word's end."""
+        counts = self.counts.all
+        n = counts[numbers]
+        stop = np.cumsum(n)
+        return self.ids.all[np.repeat((np.cumsum(counts) - counts)[numbers] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)], stop
+
+    @property
+    def full(self) -> bool:
+        return self.counts.n > LIMIT or self.ids.n > 8 * LIMIT or self.bytes > 32 * LIMIT
 
     def forget(self) -> None:
         """Between batches: starts afresh where the table has grown too large."""
-        if self.counts.n > LIMIT or self.ids.n > 8 * LIMIT or self.bytes > 32 * LIMIT:
+        if self.full:
             self.clear()
 
 

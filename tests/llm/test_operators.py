@@ -538,7 +538,7 @@ def small_model(texts):
     for cell, n in lm._id_counts(iter([batch])):
         cells[cell] += n
     counts, begun, kinds = cells.reshape(3, size)
-    lex = attention.lexicon(counts, np.random.default_rng(1).integers(0, attention.GROUPS, attention.TOP))
+    lex = attention.lexicon(counts, begun, np.random.default_rng(1).integers(0, attention.GROUPS, attention.TOP))
     follow = np.zeros((lm.ROWS, lm.ROWS + 1))
     for cell, n in lm._followers(lex)(iter([batch])):
         follow.ravel()[cell] += n
