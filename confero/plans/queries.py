@@ -15,7 +15,7 @@ from ..functions.text import ENDINGS, STOP_WORDS, name_slots, normalize, soundex
 from ..operators import comparators as cmp
 from ..operators.frequency import Words, name_frequency, rare_and_common, text_frequency
 from ..sources.scratch import Scratch
-from .engine import FINAL, LABELS, WORD_LABELS, FixedLayout, Pair, fixed_labels, labels, score_fixed, score_pairs
+from .engine import FINAL, LABELS, WORD_LABELS, FixedLayout, Pair, fixed_labels, labels, score_fixed, score_pairs, spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _pairs(df: DataFrame, key: str, **columns: Column) -> DataFrame:
     """key, and l_x and r_x of each column: the row's value and that of the row with the next key."""
     left = df.select(key, *(c.alias(f"l_{n}") for n, c in columns.items()))
     right = df.select((F.col(key) - 1).alias(key), *(c.alias(f"r_{n}") for n, c in columns.items()))
-    return left.join(right, key)
+    return spread(left.join(right, key), key)
 
 
 def _points(df: DataFrame, key: str, result: Column, n: int) -> DataFrame:
