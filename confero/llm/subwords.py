@@ -44,15 +44,17 @@ class WordBpe:
     def encode(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, in order."""
         known = self.words
-        new = set(words).difference(known)
-        if new:
-            if len(known) > _CACHE:
-                known.clear()
-                new = set(words)
-            self._learn(list(new))
-        out = list(map(known.__getitem__, words))
-        for w in [w for w in new if len(w) > _LONG]:
-            del known[w]
+        if len(known) > _CACHE:
+            known.clear()
+        out = list(map(known.get, words))
+        if None in out:
+            missing = [i for i, ids in enumerate(out) if ids is None]
+            new = list({words[i] for i in missing})
+            self._learn(new)
+            for i in missing:
+                out[i] = known[words[i]]
+            for w in [w for w in new if len(w) > _LONG]:
+                del known[w]
         return out
 
     def encode_text(self, text: bytes) -> bytes:
