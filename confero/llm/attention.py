@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-WINDOW, OVERLAP, WIDTH = 32, 8, 8
+WINDOW, OVERLAP, WIDTH = 24, 6, 8
 TOP, GROUPS, BANDS = 1024, 27, 4
 #: Groups, bands, and the text's end.
 CLASSES = GROUPS + BANDS + 1
@@ -165,7 +165,7 @@ def pooled(p: dict[str, np.ndarray], columns: np.ndarray, lengths: np.ndarray) -
     return np.add.reduceat(p["E"][columns], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None].astype(np.float32)
 
 
-def train(p: dict[str, np.ndarray], adam: Adam, columns: np.ndarray, counts: np.ndarray, target: np.ndarray, lengths: np.ndarray, size: int = 128) -> None:
+def train(p: dict[str, np.ndarray], adam: Adam, columns: np.ndarray, counts: np.ndarray, target: np.ndarray, lengths: np.ndarray, size: int = 96) -> None:
     """Steps over all windows of some texts, whose inputs stand one after another: the columns of their ids, how many
     ids each has, and the class after each."""
     at, asked = windows(lengths)
