@@ -26,7 +26,8 @@ from .common import batches, columns, slices, table, text_or_empty
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: The tokenizer's white space is Unicode's property, which is not this library's \s.
 SPLIT = public_tokenizers.PATTERN.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")
-_CACHE = 700_000
+#: Parts of texts kept with their ids; at the limit one starts afresh, which costs time only.  Longer ones are not kept.
+_CACHE, _LONG = 700_000, 200
 
 
 class ByteBpe:
@@ -132,7 +133,10 @@ class ByteBpe:
                 new = set(splits)
             for s in new:
                 known[s] = np.array(self.encode_split(s.encode()), "<u4").tobytes() if len(s) > 64 else array("I", self.encode_split(s.encode())).tobytes()
-        return b"".join(map(known.__getitem__, splits))
+        out = b"".join(map(known.__getitem__, splits))
+        for s in [s for s in new if len(s) > _LONG]:
+            del known[s]
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
@@ -154,7 +158,8 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha
 def encode_documents(docs: DataFrame, path: str = BYTE_BPE, digests: bool = False) -> DataFrame:
     """Encode whole texts and decode the ids again: doc_id, n_tokens, ids (binary, little-endian 32 bit), decoded (binary).
 
-    Null texts are empty; empty ones have no ids; repeated rows stay; other columns are not looked at.  With
+    Null texts are empty; empty ones have no ids; texts and parts of any length are encoded whole, in linear time;
+    repeated rows stay; an empty table gives no rows; other columns are not looked at.  With
     `digests`, SHA-256 digests stand in place of ids and decoded bytes, so that they never leave the worker.
     """
 

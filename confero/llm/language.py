@@ -21,6 +21,8 @@ BITS = 16
 #: What the log-likelihood must gain for each language more than one.
 PENALTY = 12.0
 UNKNOWN = "und"
+#: Languages that a model may have: each takes 256 KB in every worker.
+MOST = 1000
 _LETTER = re.compile(r"[^\W\d_]")
 _SPACE = re.compile(rb"[\x00-@\[-`{-\x7f]+")
 
@@ -81,6 +83,8 @@ def learn(docs: DataFrame) -> Mixture:
     rows = docs.where("text is not null and lang is not null").select("lang", "text").mapInArrow(lambda s: batches(count(s), schema, 20000), "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     held = rows.groupBy("lang").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("counts")).collect()
     languages = sorted(r["lang"] for r in held)
+    if len(languages) > MOST:
+        raise ValueError(f"{len(languages)} different languages; a model holds {MOST}")
     counts = np.zeros((len(languages), 1 << BITS))
     for r in held:
         counts[languages.index(r["lang"]), r["slots"]] = r["counts"]
@@ -92,7 +96,8 @@ def identify(docs: DataFrame, fold: int = 5, more: list[str] | None = None) -> D
 
     Learns from rows whose crc32(doc_id) mod `fold` is not 0.  A text that is null, empty or without a letter is
     `und` with score 0; so is every text if there is nothing to learn from.  Ties go to the language first in the
-    alphabet.  Repeated rows each get a row.
+    alphabet.  Texts of any length are read whole; repeated rows each get a row; an empty table gives no rows; columns
+    not named are not looked at.
     """
     held_out = (crc_mod("doc_id", fold) == 0).alias("held_out")
     model = learn(docs.where(~held_out))

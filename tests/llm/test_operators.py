@@ -66,7 +66,7 @@ def test_byte_bpe(spark):
 
     b = bpe.byte_bpe()
     e = tiktoken.Encoding("own", pat_str=bpe.public_tokenizers.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
-    texts = [*ODD, "abab" * 400, "it's  I'LL <|endoftext|> 123456"]
+    texts = [*ODD, "abab" * 400, "it's  I'LL <|endoftext|> 123456", "x" * 1_000_000, " \n" * 2000, "word and " * 120_000]
     got = {r["doc_id"]: r for r in bpe.encode_documents(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         ids = np.frombuffer(got[i]["ids"], "<u4").tolist()
