@@ -103,6 +103,17 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(at, stop[:, None] - 1), asked
 
 
+_ROOM: dict[tuple, np.ndarray] = {}
+
+
+def _room(name: str, kind: np.dtype, rows: int, *shape: int) -> np.ndarray:
+    """An array to write into, kept from step to step: fresh memory costs more than what is done with it."""
+    held = _ROOM.get((name, kind, shape))
+    if held is None or len(held) < rows:
+        held = _ROOM[name, kind, shape] = np.empty((rows, *shape), kind)
+    return held[:rows]
+
+
 def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, asked: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
     """Cross-entropy of the classes y that follow the inputs x (batch, window, width), where asked for; its gradient, by
     weights and by x."""
@@ -110,17 +121,19 @@ def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, asked: np.n
     n, w, d = x.shape
     flat = x.reshape(-1, d)
     q, k, v = ((flat @ p[m]).reshape(n, w, d) for m in ("Wq", "Wk", "Wv"))
-    a = q @ k.transpose(0, 2, 1)
+    a = np.matmul(q, k.transpose(0, 2, 1), out=_room("a", x.dtype, n, w, w))
     a *= scale
     np.clip(a, -30, 30, out=a)
     a += p["rel"][np.maximum(_LAG, 0)] + _LATER
     np.exp(a, out=a)
     a /= a @ np.ones((w, 1), a.dtype)
-    mixed = a @ v
-    g = mixed.reshape(-1, d) + flat @ p["Wr"]
+    mixed = np.matmul(a, v, out=_room("mixed", x.dtype, n, w, d))
+    g = np.matmul(flat, p["Wr"], out=_room("g", x.dtype, n * w, d))
+    g += mixed.reshape(-1, d)
     use = np.flatnonzero(asked.ravel())
     gu, target, rows = g[use], y.ravel()[use], np.arange(len(use))
-    z = gu @ p["U"] + p["b"]
+    z = np.matmul(gu, p["U"], out=_room("z", x.dtype, len(use), CLASSES))
+    z += p["b"]
     np.clip(z, -60, 60, out=z)
     np.exp(z, out=z)
     z /= z @ np.ones((CLASSES, 1), z.dtype)
@@ -129,10 +142,11 @@ def gradient(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, asked: np.n
     z[rows, target] -= 1
     z /= np.float32(total)
     out = {"U": gu.T @ z, "b": z.sum(axis=0)}
-    dg = np.zeros_like(g)
+    dg = _room("dg", x.dtype, n * w, d)
+    dg[:] = 0
     dg[use] = z @ p["U"].T
     dg3 = dg.reshape(n, w, d)
-    ds = dg3 @ v.transpose(0, 2, 1)
+    ds = np.matmul(dg3, v.transpose(0, 2, 1), out=_room("ds", x.dtype, n, w, w))
     dv = (a.transpose(0, 2, 1) @ dg3).reshape(-1, d)
     ds -= (dg3 * mixed).sum(axis=2, keepdims=True)
     ds *= a
@@ -162,7 +176,9 @@ class Adam:
 
 def pooled(p: dict[str, np.ndarray], columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Words as the means of their ids' embeddings; columns: those of all words, one after another."""
-    return np.add.reduceat(p["E"][columns], np.cumsum(lengths) - lengths, axis=0) / lengths[:, None].astype(np.float32)
+    run, stop = np.zeros((len(columns) + 1, WIDTH)), np.cumsum(lengths)
+    np.cumsum(p["E"][columns], axis=0, out=run[1:])
+    return ((run[stop] - run[stop - lengths]) / lengths[:, None]).astype(np.float32)
 
 
 def train(p: dict[str, np.ndarray], adam: Adam, columns: np.ndarray, counts: np.ndarray, target: np.ndarray, lengths: np.ndarray, size: int = 96) -> None:
