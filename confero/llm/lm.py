@@ -6,10 +6,9 @@ to a sign for the word's end; its probability is the sum of both ways.  So the w
 sum to no more than one.
 
 Word counts, and through them subword counts, come from all texts that may be learned from; the attention weights are
-trained where the texts are, on overlapping windows over the whole of every such text, and averaged after each round.
-Texts are turned into ids once, for all rounds.
-The most frequent words' counts go to every executor, a bounded list; the rest of the words are joined with their
-counts, and their memory is added there.
+trained where the texts are, on overlapping windows over the whole of every such text, and averaged after each round;
+texts are turned into ids once, for all rounds.  The most frequent words' counts go to every executor, a bounded list;
+the rest of the words are joined with their counts, and their memory is added there.
 """
 
 from __future__ import annotations

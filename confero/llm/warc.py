@@ -91,7 +91,7 @@ class _Reading:
     """A record that is being read, row after row."""
 
     def __init__(self, record: str, first: memoryview):
-        front, block = bytes(first[: 1 << 16]).split(b"\r\n\r\n", 1)
+        front, block = bytes(first).split(b"\r\n\r\n", 1)
         lines = front.decode().split("\r\n")
         self.record, self.head = record, dict(line.split(": ", 1) for line in lines[1:] if line)
         self.http = block.find(b"\r\n\r\n") + 4 if self.head["WARC-Type"] == "response" else len(block)

@@ -149,7 +149,7 @@ def near_texts(rng):
             for _ in range(rng.randint(0, 6)):
                 copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
             texts.append(" ".join(copy))
-    return [*texts, *[texts[-1]] * 5, "long " + " ".join(rng.choice(vocabulary) for _ in range(200_000))]
+    return [*texts, *[texts[-1]] * 5, "long " + " ".join(rng.choice(vocabulary) for _ in range(60_000))]
 
 
 def test_near_duplicates(spark, monkeypatch):
@@ -290,7 +290,7 @@ def test_fingerprints_of_a_large_group(spark):
 
 def test_warc(spark):
     big = "é<p>x</p>" * 20000
-    pages = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 40)]
+    pages = [(1, "http://a/ b\r\nX: y", big), (2, None, big), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 40), (8, "http://é/" + "u" * 200_000, "x" * 999_999)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     scratch = warc.Scratch(spark, "t")
     got = {r["page_id"]: r for r in warc.read_records(warc.write_records(df, scratch, chunk=1000), scratch).collect()}
