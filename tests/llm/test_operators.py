@@ -351,6 +351,10 @@ def test_toxicity(spark):
     held = [i for i in range(400) if got[i]["held_out"]]
     assert sum(got[i]["predicted"] == int(i % 4 == 0) for i in held) > 0.97 * len(held)
     assert got[900]["score"] == got[901]["score"] and got[901]["predicted"] == 0
+    odd = d.where("doc_id in (4, 5, 900)").union(d.where("doc_id = 4")).union(spark.createDataFrame([(4, "scum"), (950, "word1 " * 200_000), (None, "word2")], "doc_id long, text string"))
+    more = toxicity.score_toxicity(d.union(odd).withColumns({c: F.lit(1) for c in ("y", "score", "predicted", "held_out", "lang")}), l).collect()
+    assert len(more) == 402 + 7 and len({r["score"] for r in more if r["doc_id"] == 5}) == 1 and sum(r["doc_id"] == 4 for r in more) == 4
+    assert [r["predicted"] for r in more if r["doc_id"] in (950, None)] == [0, 0]
     assert toxicity.score_toxicity(d, l.limit(0)).count() == 402 and toxicity.score_toxicity(d.limit(0), l).count() == 0
 
 
@@ -585,17 +589,21 @@ def test_lm(spark):
     from collections import Counter
 
     rng = random.Random(13)
-    texts = [*ODD, *(" ".join(rng.choice(["red", "blue", "house", f"u{i}"]) for _ in range(rng.randint(1, 150))) for i in range(120))]
-    rows = {r["doc_id"]: r for r in lm.score_texts(docs(spark, texts), head=6).collect()}
-    tokens = {i: [*words(t), ""] for i, t in enumerate(texts)}
-    count = Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    texts = [*ODD, "w" * 300_000, "red blue " * 60_000, *(" ".join(rng.choice(["red", "blue", "house", f"u{i}"]) for _ in range(rng.randint(1, 150))) for i in range(120))]
+    rows = [*enumerate(texts), (5, "another text"), *[(7, texts[7])] * 2]
+    df = spark.createDataFrame([(*r, 1, "x", 2, "y") for r in rows] + [(None, "no id", 1, "x", 2, "y")], "doc_id long, text string, row long, word string, n long, held_out string")
+    got = lm.score_texts(df, head=6).collect()
+    tokens = [(i, [*words(t), ""]) for i, t in rows]
+    count = Counter(w for i, ws in tokens if zlib.crc32(str(i).encode()) % 10 for w in ws)
     n, v = sum(count.values()), len(count)
-    for i, ws in tokens.items():
-        r = rows[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(ws), sum(count[w] > 0 for w in ws), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
-        assert -20 * len(ws) - 20 < r["score"] < 0
-    assert lm.score_texts(docs(spark, texts).limit(0)).count() == 0
+    key = lambda r: (r[0], r[1], r[4])
+    have = sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=key)
+    want = sorted(((i, len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for i, ws in tokens), key=key)
+    assert [r[:4] for r in have] == [r[:4] for r in want] and [r[4] for r in have] == pytest.approx([r[4] for r in want])
+    assert all(r["score"] < 0 for r in got) and len({r["score"] for r in got if r["doc_id"] == 7}) == 1
+    assert lm.score_texts(df.limit(0)).count() == 0
+    alone = lm.score_texts(df.where("crc32(cast(cast(doc_id as string) as binary)) % 10 = 0")).collect()  # nothing to learn from
+    assert alone and all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in alone)
 
 
 def test_lm_remembers_rare_words(spark):
