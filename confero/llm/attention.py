@@ -207,13 +207,10 @@ class Scorer:
         self.bias = np.where(_LAG >= 0, np.exp(np.minimum(p["rel"][np.maximum(_LAG, 0)], 30)), 0).astype(np.float32)
         self.maps = np.concatenate([p["Wq"] / np.float32(np.sqrt(WIDTH)), p["Wk"], p["Wv"], p["Wr"]], axis=1)
 
-    def maps_of(self, columns: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Queries, keys, values and direct parts of words, side by side."""
-        return pooled(self.p, columns, lengths) @ self.maps
-
-    def score(self, maps: np.ndarray, target: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The natural log-probability of the class after each input; maps: those of the inputs of all texts."""
+    def score(self, x: np.ndarray, target: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The natural log-probability of the class after each input; x: the means of the inputs of all texts."""
         at, asked = windows(lengths)
+        maps = x @ self.maps  # queries, keys, values and direct parts, side by side
         out, d = np.empty(len(maps)), WIDTH
         for i in range(0, len(at), 256):
             place, use = at[i : i + 256], np.flatnonzero(asked[i : i + 256].ravel())

@@ -14,7 +14,6 @@ the rest of the words are joined with their counts, and their memory is added th
 from __future__ import annotations
 
 import pickle
-from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -43,7 +42,7 @@ END_CLASS = attention.CLASSES - 1
 _ENCODED = pa.schema([("key", pa.int64()), ("ids", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
 _CELL = pa.schema([("cell", pa.int64()), ("n", pa.int64())])
 _WEIGHTS = pa.schema([("part", pa.int32()), ("n", pa.int64()), ("weights", pa.binary())])
-_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())), ("gains", pa.list_(pa.float64()))])
+_SCORED = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "times", "gains"]
 
 
 def _mapped(df: DataFrame, name: str, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], schema: pa.Schema, ddl: str, size: int = 20000) -> DataFrame:
@@ -56,34 +55,37 @@ def _mapped(df: DataFrame, name: str, rows: Callable[[Iterator[pa.RecordBatch]],
     return df.mapInArrow(run, ddl)
 
 
-def _encode(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _encode(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as ids, by key, and now and then the counts of the words seen since."""
     known, texts = word_ids(), 0
     n = np.zeros(0, np.int64)
 
-    def counted() -> Iterator[tuple]:
-        for i in np.flatnonzero(n).tolist():
-            yield None, None, known.words[i], int(n[i])
+    def counted() -> pa.RecordBatch:
+        some = np.flatnonzero(n)
+        none = pa.nulls(len(some))
+        return pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.binary()), pa.array([known.words[i] for i in some.tolist()], pa.binary()), pa.array(n[some])], schema=_ENCODED)
 
     for big in source:
         for batch in slices(big, "text", SLICE):
             if known.full:
-                yield from counted()
+                yield counted()
                 n = np.zeros(0, np.int64)
                 known.clear()
-            keys, split = columns(batch, "key")[0], list(map(word_bytes, columns(batch, "text")[0]))
+            split = list(map(word_bytes, columns(batch, "text")[0]))
             numbers = known.numbers(list(chain.from_iterable(split)))
             more = np.bincount(numbers, minlength=known.counts.n)
             more[: len(n)] += n
             n = more
             ids, stop = known.ids_of(numbers)
-            texts += len(keys)
-            cuts = np.append(0, stop)[np.append(0, np.cumsum(list(map(len, split))))].tolist()
-            for key, a, b in zip(keys, cuts, cuts[1:]):
-                yield key, ids[a:b].tobytes(), None, None
-    yield from counted()
+            texts += len(split)
+            cuts = 2 * np.append(0, stop)[np.append(0, np.cumsum(list(map(len, split))))]
+            held = pa.Array.from_buffers(pa.binary(), len(split), [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+            none = pa.nulls(len(split))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), held, none.cast(pa.binary()), none.cast(pa.int64())], schema=_ENCODED)
+    if n.any():
+        yield counted()
     if texts:
-        yield None, None, b"", texts
+        yield pa.RecordBatch.from_pydict({"key": [None], "ids": [None], "word": [b""], "n": [texts]}, schema=_ENCODED)
 
 
 def _real(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,14 +260,14 @@ class _Scored:
         if self.life != known.life:
             self.life = known.life
             self.klass, self.own, self.base, self.listed, self.gain = Grown(np.int32), Grown(np.float64), Grown(np.float64), Grown(bool), Grown(np.float64)
-            self.maps = Grown(np.float32, 4 * attention.WIDTH)
+            self.mean = Grown(np.float32, attention.WIDTH)
             # the text's start, which is no token, and its end, which is a class of its own
             self.klass.add(np.full(2, END_CLASS))
             self.own.add(np.zeros(2))
             self.base.add(np.full(2, np.log10(self.ends + 0.1)))
             self.listed.add(np.ones(2, bool))
             self.gain.add(np.zeros(2))
-            self.maps.add(self.scorer.maps_of(np.full(2, attention.COLUMNS - 1), np.ones(2, np.int64)))
+            self.mean.add(attention.pooled(self.model.weights, np.full(2, attention.COLUMNS - 1), np.ones(2, np.int64)))
         done, counts = self.klass.n, known.counts.all
         if done == len(counts):
             return
@@ -279,7 +281,7 @@ class _Scored:
         self.base.add(np.where(n > 0, np.log10(n + 0.1), 0.0))
         self.listed.add(n > 0)
         self.gain.add(-np.log(m.total[klass]) - spelt)  # of one count in memory over spelling
-        self.maps.add(self.scorer.maps_of(m.lex.column[flat], counts))
+        self.mean.add(attention.pooled(m.weights, m.lex.column[flat], counts))
 
 
 def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
@@ -294,7 +296,7 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), (crc_mod("doc_id", fold) == 0).alias("held_out"))
     texts = docs.where(~F.col("held_out")).select(F.xxhash64("doc_id").alias("key"), "text")
-    encoded = scratch.save(_mapped(texts, "encode", _encode, _ENCODED, "key long, ids binary, word binary, n long", 2000), "encoded")
+    encoded = scratch.save(texts.mapInArrow(_encode, "key long, ids binary, word binary, n long"), "encoded")
     words = scratch.save(encoded.where("word is not null").groupBy("word").agg(F.sum("n").alias("n")), "words")
     texts = encoded.where("ids is not null").select("key", "ids")
     n_train, kinds, ends = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("n"))), F.lit(0))).first()
@@ -303,36 +305,37 @@ def score_texts(docs: DataFrame, fold: int = 10, head: int = HEAD) -> DataFrame:
     scratch.drop("encoded")
     below = float(np.log10(n_train + 0.1 * (kinds + 1)))
 
-    def rows(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    def score_words(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, scored = word_ids(), _Scored(*shared.value)
         row = TaskContext.get().partitionId() << 36
         for big in source:
             for batch in slices(big, "text", SLICE):
                 known.forget()
-                ids, texts, held = columns(batch, "doc_id", "text", "held_out")
-                split = list(map(word_bytes, texts))
+                split = list(map(word_bytes, columns(batch, "text")[0]))
                 numbers = known.numbers(list(chain.from_iterable(split)))
                 scored.update(known)
-                lengths = np.fromiter(map(len, split), np.int64, len(split))
+                lengths = np.fromiter(map(len, split), np.int64, len(split)) + 1
                 stops = np.cumsum(lengths)
-                tokens = np.insert(numbers, stops, END)
-                maps = scored.maps.all[np.insert(numbers, stops - lengths, START)]
-                like = scored.scorer.score(maps, scored.klass.all[tokens], lengths + 1) + scored.own.all[tokens]
+                first = stops - lengths
+                tokens = np.insert(numbers, np.cumsum(lengths - 1), END)
+                inputs = np.append(START, tokens[:-1])
+                inputs[first] = START  # in place of the end of the text before
+                like = scored.scorer.score(scored.mean.all[inputs], scored.klass.all[tokens], lengths) + scored.own.all[tokens]
                 listed = scored.listed.all[tokens]
-                first = np.cumsum(lengths + 1) - lengths - 1
-                scores, bases, n_known = (np.add.reduceat(x, first).tolist() for x in (like / np.log(10), scored.base.all[tokens], listed.astype(np.int64)))
-                if not scored.ends:
-                    n_known = [n - 1 for n in n_known]
+                n_known = np.add.reduceat(listed.astype(np.int64), first) - (0 if scored.ends else 1)
                 outside = np.flatnonzero(~listed)
-                cuts = np.searchsorted(outside, np.append(first, len(tokens))).tolist()
-                outside, gain = tokens[outside].tolist(), scored.gain.all
-                for i, (doc_id, h, n) in enumerate(zip(ids, held, lengths.tolist())):
-                    rare = Counter(outside[cuts[i] : cuts[i + 1]])
-                    yield row, doc_id, h, n + 1, n_known[i], bases[i], scores[i], [known.words[k] for k in rare], list(rare.values()), gain[list(rare)].tolist()
-                    row += 1
+                pairs, times = np.unique(np.searchsorted(stops, outside, side="right") << 32 | tokens[outside], return_counts=True)
+                words_ = pairs & 0xFFFFFFFF
+                cuts = pa.array(np.searchsorted(pairs >> 32, np.arange(len(split) + 1)).astype(np.int32))
+                lists = [pa.array([known.words[i] for i in words_.tolist()], pa.binary()), pa.array(times.astype(np.int64)), pa.array(scored.gain.all[words_])]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.arange(row, row + len(split))), batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(n_known),
+                    pa.array(np.add.reduceat(scored.base.all[tokens], first)), pa.array(np.add.reduceat(like, first) / np.log(10)), *(pa.ListArray.from_arrays(cuts, x) for x in lists),
+                ], names=_SCORED)
+                row += len(split)
 
     ddl = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, times array<bigint>, gains array<double>"
-    scored = scratch.save(_mapped(docs, "score_texts", rows, _SCORED, ddl, 1000), "scored")
+    scored = scratch.save(docs.mapInArrow(score_words, ddl), "scored")
     # words outside the frequent list: none of them is in very many texts, or it would be in the list
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times", "gains")).alias("r")).select("row", F.col("r.rare").alias("word"), "r.times", "r.gains")
     # log of what spelling and memory give together over what spelling gives

@@ -509,7 +509,7 @@ def test_lm_scores_are_those_of_a_plain_model():
     scored.update(known)
     lengths = np.array([len(ws) for ws in split])
     tokens = np.insert(numbers, np.cumsum(lengths), wordids.END)
-    like = scored.scorer.score(scored.maps.all[np.insert(numbers, np.cumsum(lengths) - lengths, wordids.START)], scored.klass.all[tokens], lengths + 1) + scored.own.all[tokens]
+    like = scored.scorer.score(scored.mean.all[np.insert(numbers, np.cumsum(lengths) - lengths, wordids.START)], scored.klass.all[tokens], lengths + 1) + scored.own.all[tokens]
     want = []
     for ws in split:
         ids = [known.encode([w.encode()])[0].tolist() for w in ws]
