@@ -9,7 +9,7 @@
    forest of the confirmed links is kept.
 4. Connected components of the confirmed links.
 
-A pair at the threshold of 0.85 meets in no band with probability 2e-8; the sketches' cut lies five standard
+A pair at the threshold of 0.85 meets in no band with probability 2e-8, one at 0.8 with 3e-6; the sketches' cut lies five standard
 deviations under the threshold.
 """
 
