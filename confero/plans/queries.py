@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.address import parts, token_set_ratio, tokenize
-from ..functions.text import ENDINGS, STOP_WORDS, name_slots, normalize, soundex4, split_name, tokens, total_format, two_places
+from ..functions.text import ENDINGS, STOP_WORDS, normalize, soundex4, split_name, tokens, total_format, two_places
 from ..operators import comparators as cmp
 from ..operators.frequency import Words, name_frequency, rare_and_common, text_frequency
 from ..sources.scratch import Scratch

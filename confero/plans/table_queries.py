@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import total_format
@@ -11,7 +11,7 @@ from ..sources import files
 from ..sources.scratch import Scratch
 from ..streaming.scorer import score_batches, score_stream
 from . import header
-from .queries import _SQL_DATES, _SQL_NAME, _dates, _name, _sql_date, _sql_norm, _sql_slots, _sql_text_counts, _sql_tokens, _sql_words, _table
+from .queries import _SQL_NAME, _name, _sql_date, _sql_norm, _sql_slots, _sql_text_counts, _sql_tokens, _sql_words, _table
 
 def _awkward(spark: SparkSession, d: str) -> DataFrame:
     """Values with quotes, line breaks, separators, blanks at the ends, a backslash at the end, and missing ones."""
