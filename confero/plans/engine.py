@@ -55,7 +55,7 @@ def _by_index(df: DataFrame, na: bool) -> DataFrame:
     return raw.select(*((missing_to_empty(F.col(c).cast("string")) if na else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in raw.columns))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """Rows over as many tasks as the session shuffles to.  A task scores some thousands of pairs a second and shuffles
     a hundred times as many, so partitions that are right by their bytes are too few for the comparators."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -110,7 +110,7 @@ def score_pairs(df: DataFrame, pairs: Sequence[Pair], sort_by: str | None = FINA
     used = sorted({i for p in pairs if p.kind.upper() != "M" for i in (p.left, p.right)})
     work = work.select("*", *(normalize(F.col(f"c{i}")).alias(f"n{i}") for i in used))
     work = rare_and_common(work, [Words(str(k), f"n{p.left}", f"n{p.right}", p.kind.upper() == "N") for k, p in enumerate(pairs) if p.kind.upper() not in ("D", "C", "L", "M")])
-    work = spread(work, "row")
+    work = spread(work, F.xxhash64("row"))  # another key than that after the scores, or Spark makes one exchange of both
     results = [_compare(p, str(k), initials) for k, p in enumerate(pairs)]
     work = work.select("*", *(x.alias(f"r{k}") for k, x in enumerate(results)))
     total, scores = F.lit(0.0), []
@@ -136,7 +136,7 @@ def score_fixed(df: DataFrame, layout: FixedLayout = FixedLayout(), frequencies:
     work = work.select("*", *(normalize(F.col(f"c{i}")).alias(f"n{i}") for i in sorted({i for pair in people.values() for i in pair} | {layout.birth1, layout.birth2})))
     known = None if frequencies is None else frequencies.withColumnRenamed("person", "pair")
     work = rare_and_common(work, [Words(p, f"n{a}", f"n{b}", True) for p, (a, b) in people.items()], known)
-    work = spread(work, "row")
+    work = spread(work, F.xxhash64("row"))  # another key than that after the scores, or Spark makes one exchange of both
     results = [_compare(Pair(a, b, "N", p), p) for p, (a, b) in people.items()]
     dated = (F.length(f"c{layout.birth1}") == 8) & (F.length(f"c{layout.birth2}") == 8)
     results.append(F.when(dated, cmp.date(F.col(f"n{layout.birth1}"), F.col(f"n{layout.birth2}"))).otherwise(cmp.zeros(5)))
