@@ -15,7 +15,7 @@ from .bpe import ByteBpe
 
 MULTI_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Words kept; at the limit the table starts afresh, which costs time only.
-LIMIT = 350_000
+LIMIT = 200_000
 #: Longer words are encoded in linear time.
 LONG = 400
 #: The text's start and end, which are no words.
