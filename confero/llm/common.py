@@ -16,7 +16,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words are what stands between these bytes: blank and 09 to 0D.
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
-SPACE_PATTERN = "[\\x20\\x09-\\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,8 +5,7 @@ lower end bounds its size, whatever the corpus: no more than (mean distinct term
 At the band's upper end a large group of copies or near copies counts as about one document, so that a group
 does not push its own terms out.
 A text keeps its distinct terms of the lexicon in order and hashes those of several random subsets of the
-lexicon, coarse subsets for short texts and fine ones for long texts.  A subset that a text does not touch
-hashes to the empty list's value.
+lexicon, coarse subsets for short texts and fine ones for long texts.
 """
 
 from __future__ import annotations
@@ -17,10 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from .common import SPACE_PATTERN, table, text_or_empty
+from .common import table, text_or_empty
 
-#: xxhash64 of an empty list is its seed.
-EMPTY = 42
 #: Random partitions of the lexicon, as (bits skipped, number of subsets).
 SUBSETS = ((8, 8), (16, 128))
 #: Sketches of a text, each of some neighbours in the order of terms: near copies share one of them nearly always,
@@ -32,22 +29,40 @@ GROUP = 0.0005
 ONE = 1 << 30
 
 
+def lower_letters(word: Column) -> Column:
+    """A-Z in lower case and no other letter: going letter by letter is slow, so only for words that need it."""
+    by_letter = F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).when(F.lower(word) == word, word).otherwise(by_letter)
+
+
 def terms(text: Column) -> Column:
-    """Hashes of the distinct words, A-Z in lower case, in order."""
-    words = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), SPACE_PATTERN)
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(words, ""), lambda w: F.xxhash64(w))))
+    """Hashes of the distinct words, A-Z in lower case, in order.
+
+    A text whose characters are one byte each is lowered as a whole.  Words are cut at each blank, 20 and 09 to 0D; the
+    empty ones between two blanks go by their hash."""
+
+    def hashes(of: Column, lowered) -> Column:
+        return F.transform(F.split(of, "\\s"), lambda w: F.xxhash64(lowered(w)))
 
+    found = F.when(F.octet_length(text) == F.char_length(text), hashes(F.lower(text), lambda w: w)).otherwise(hashes(text, lower_letters))
+    return F.sort_array(F.array_remove(F.array_distinct(found), F.xxhash64(F.lit(""))))
 
-def sketches(all_terms: Column) -> list[Column]:
-    """Hashes of the LEAST terms that come first from each of SKETCHES places on, the last followed by the first;
-    null for a text without terms."""
 
-    def first(i: int) -> Column:
-        place = F.lit((i << 64) // SKETCHES - (1 << 63))
-        onward = F.concat(F.filter(all_terms, lambda x: x >= place), all_terms) if i else all_terms
-        return F.xxhash64(F.lit(i), F.slice(onward, 1, LEAST))
+def sketched(docs: DataFrame) -> DataFrame:
+    """t and its sketches k0, k1, ...: hashes of the LEAST terms that come first from each of SKETCHES places on, the
+    last followed by the first; null for a text without terms.
 
-    return [F.when(F.size(all_terms) > 0, first(i)) for i in range(SKETCHES)]
+    The leading bits of a term say between which places it stands (SKETCHES is a power of two)."""
+    bits = 65 - SKETCHES.bit_length()
+    docs = docs.select("t", F.transform("t", lambda x: F.shiftright(x, bits)).alias("part"))
+    starts = [F.size("t").cast("long") + 1]
+    for part in range(SKETCHES // 2 - 1, -SKETCHES // 2, -1):
+        starts.append(F.coalesce(F.nullif(F.array_position("part", F.lit(part).cast("long")), F.lit(0).cast("long")), starts[-1]))
+    starts = [F.lit(1), *starts[:0:-1]]
+    docs = docs.select("t", *(x.cast("int").alias(f"start{i}") for i, x in enumerate(starts)))
+    around = F.concat("t", F.slice("t", 1, LEAST))
+    some = [F.slice(around if i else F.col("t"), F.col(f"start{i}"), F.lit(LEAST)) for i in range(SKETCHES)]
+    return docs.select("t", *(F.when(F.size("t") > 0, F.xxhash64(F.lit(i), x)).alias(f"k{i}") for i, x in enumerate(some)))
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> list[int]:
@@ -57,81 +72,82 @@ def lexicon(docs: DataFrame, low: float, high: float) -> list[int]:
     The group's size is that of the largest set of texts with one of the text's sketches.
     """
     n = docs.count()
-    found = docs.select(terms(F.col("text")).alias("t")).select(F.explode(F.array(*sketches(F.col("t")))).alias("sketch"))
+    read = docs.select(terms(F.col("text")).alias("t"))
+    found = sketched(read).select(F.explode(F.array(*(f"k{i}" for i in range(SKETCHES)))).alias("sketch"))
     large = found.where("sketch is not null").groupBy("sketch").agg(F.count("*").alias("size")).where(F.col("size") >= max(2, math.ceil(GROUP * n)))
     large = [(r["sketch"], r["size"]) for r in large.collect()]
-    counted, size = docs.select(terms(F.col("text")).alias("t")), F.lit(1).cast("long")
+    counted, size = read, F.lit(1).cast("long")
     if large:
         table = F.broadcast(docs.sparkSession.createDataFrame(large, "sketch long, size long"))
-        counted = counted.select("t", *(k.alias(f"k{i}") for i, k in enumerate(sketches(F.col("t")))))
+        counted = sketched(counted)
         for i in range(SKETCHES):
             counted = counted.join(table.select(F.col("sketch").alias(f"k{i}"), F.col("size").alias(f"size{i}")), f"k{i}", "left")
         size = F.coalesce(F.greatest(*(F.col(f"size{i}") for i in range(SKETCHES))), F.lit(1))
     share = F.greatest(F.lit(1), F.floor(F.lit(ONE) / size)).cast("long")
-    counts = counted.select(share.alias("share"), F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("share").alias("shares"))
+    # explode() would have Spark work the terms out a second time, to leave empty lists out first
+    counts = counted.select(share.alias("share"), "t").select("share", F.explode_outer("t").alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"), F.sum("share").alias("shares"))
     band = (F.col("df") >= max(2, math.ceil(low * n))) & (F.col("shares") <= max(2, math.floor(high * n)) * ONE)
     return [r[0] for r in counts.where(band).select("term").collect()]
 
 
-def members(band: list[int]) -> tuple[str, int]:
-    """A table of the lexicon in which a term stands at one of two places (cuckoo hashing), 0 elsewhere."""
-    bits = max(4, (4 * len(band)).bit_length())
-    size = 1 << bits
-    held = [0] * size
-    for term in band:
-        at = term & (size - 1)
-        for _ in range(500):
-            term, held[at] = held[at], term
-            if not term:
-                break
-            one, two = term & (size - 1), (term >> 32) & (size - 1)
-            at = two if at == one else one
-        else:
-            raise ValueError("terms collide in all 64 bits")
-    return ",".join(map(str, held)), size
+#: A subset's number and a term's place in its text, as one number.
+PLACES = 32
 
 
-def fingerprint(all_terms: Column, band: list[int]) -> Column:
-    """The text's terms in the lexicon; a text without one goes by all its terms.
+def fingerprint(docs: DataFrame, band: list[int], name: str) -> DataFrame:
+    """Replaces the terms t by the subsets that the text's terms in the lexicon touch, in order ({name}_subsets), and by
+    the hashes of these terms ({name}); a text without a term in the lexicon goes by all its terms.
 
-    The lexicon stands in the plan as one constant, which each term looks up twice."""
-    text, size = members(band)
-    held, mask = F.split(F.lit(text), ",").cast("array<bigint>"), F.lit(size - 1).cast("long")
-
-    def at(place: Column) -> Column:
-        return F.element_at(held, (place.bitwiseAND(mask) + 1).cast("int"))
-
-    inside = F.filter(all_terms, lambda x: (at(x) == x) | (at(F.shiftright(x, 32)) == x))
-    return F.when(F.size(inside) > 0, inside).otherwise(all_terms)
+    The lexicon stands in the plan as the constants of one IN, which Spark turns into a hash table.  Terms are sorted by
+    subset once; each subset's terms then stand together, in their own order.
+    """
+    others = [c for c in docs.columns if c != "t"]
+    if band:
+        docs = docs.withColumn("inside", F.expr(f"filter(t, x -> x in ({','.join(f'{x}L' for x in band)}))"))
+        docs = docs.select(*others, F.when(F.size("inside") > 0, F.col("inside")).otherwise(F.col("t")).alias("t"))
 
+    def dealt(before: int, skip: int, parts: int) -> Column:
+        mask, left = (parts - 1) << skip, PLACES - skip
+        return F.transform("t", lambda x, i: F.shiftleft(x.bitwiseAND(F.lit(mask).cast("long")), left) + (i + F.lit(before << PLACES)))
 
-#: Subsets that are told apart at a time: terms are first dealt to as many subsets together, then to each.
-TOGETHER = 8
+    placed, before = [], 0
+    for skip, parts in SUBSETS:
+        placed.append(dealt(before, skip, parts))
+        before += parts
+    docs = docs.select(*others, "t", F.sort_array(F.concat(*placed)).alias("placed"))
+    docs = docs.select(*others, "t", "placed", F.transform("placed", lambda p: F.shiftright(p, PLACES).cast("smallint")).alias("subset"))
+    # the place after the last term of each subset; a subset's terms begin where those before it end
+    ends = F.filter(F.sequence(F.lit(1), F.size("subset")), lambda i: ~F.get(F.col("subset"), i).eqNullSafe(F.get(F.col("subset"), i - 1)))
+    docs = docs.select(*others, "t", "placed", "subset", F.when(F.size("subset") > 0, ends).otherwise(F.array().cast("array<int>")).alias("ends"))
 
+    def hashed(end, i):  # in a lambda, slice() would copy its whole list each time
+        begin = F.when(i > 0, F.get(F.col("ends"), i - 1)).otherwise(0)
+        return F.xxhash64(F.transform(F.sequence(begin, end - 1), lambda j: F.get(F.col("t"), F.get(F.col("placed"), j).bitwiseAND(F.lit((1 << PLACES) - 1)).cast("int"))))
 
-def subset_hashes(kept: Column) -> Column:
-    """Hashes of the terms in each subset of each partition of the lexicon, by the bits of a term."""
+    return docs.select(*others, F.array_distinct("subset").alias(f"{name}_subsets"), F.transform("ends", hashed).alias(name))
 
-    def dealt(some: Column, skip: int, parts: int, use) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda s: use(F.filter(some, lambda x: F.shiftright(x, skip).bitwiseAND(F.lit(parts - 1)) == s)))
 
-    def level(skip: int, parts: int) -> Column:
-        if parts <= TOGETHER:
-            return dealt(kept, skip, parts, F.xxhash64)
-        fine = TOGETHER.bit_length() - 1
-        return F.flatten(dealt(kept, skip + fine, parts // TOGETHER, lambda some: let(some, lambda held: dealt(held, skip, TOGETHER, F.xxhash64))))
+def likeness(a: str, b: str) -> Column:
+    """Share of equal hashes among the subsets that either text touches; two texts without terms are alike.
 
-    return F.concat(*(level(*x) for x in SUBSETS))
+    Lists of different subsets of one partition differ, those of two partitions need not."""
+    touched, equal, before = F.size(F.array_union(f"{a}_subsets", f"{b}_subsets")), F.lit(0), 0
+    for _, parts in SUBSETS:
 
+        def of(name: str, low: int = before, high: int = before + parts) -> Column:
+            start = F.size(F.filter(f"{name}_subsets", lambda s: s < low)) if low else F.lit(0)
+            return F.slice(name, start + 1, F.size(F.filter(f"{name}_subsets", lambda s: s < high)) - start)
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the subsets that either text touches; two texts without terms are alike."""
-    touched = F.filter(F.zip_with(a, b, lambda x, y: F.when((x == EMPTY) & (y == EMPTY), F.lit(2)).otherwise((x == y).cast("int"))), lambda x: x < 2)
-    return F.when(F.size(touched) == 0, F.lit(1.0)).otherwise(F.size(F.filter(touched, lambda x: x == 1)) / F.size(touched))
+        equal, before = equal + F.size(F.array_intersect(of(a), of(b))), before + parts
+    return F.when(touched == 0, F.lit(1.0)).otherwise(equal / touched)
 
 
-def shown(f: Column) -> Column:
-    return F.array_join(F.transform(f, lambda x: F.when(x == EMPTY, "").otherwise(F.hex(x))), "-")
+def shown(name: str) -> Column:
+    """The hashes of all subsets with a dash between two of them; nothing stands for a subset without terms."""
+    subset, last = F.col(f"{name}_subsets"), sum(parts for _, parts in SUBSETS) - 1
+    dashes = lambda n: F.substring(F.lit("-" * last), F.lit(1), n.cast("int"))
+    each = F.transform(name, lambda h, i: F.concat(dashes(F.get(subset, i) - F.when(i > 0, F.get(subset, i - 1)).otherwise(0)), F.hex(h)))
+    return F.concat(F.array_join(each, ""), dashes(F.lit(last) - F.coalesce(F.get(subset, F.size(subset) - 1), F.lit(0))))
 
 
 def below(bounds: list[int], x: Column) -> Column:
@@ -174,12 +190,13 @@ def i_match(docs: DataFrame, low: float = 0.005, high: float = 0.05, buckets: in
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     band = lexicon(docs, low, high)
     buckets = buckets or 3 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.withColumn("t", terms(F.col("text"))).withColumn("t", fingerprint(F.col("t"), band)).select("doc_id", "text", subset_hashes(F.col("t")).alias("f"))
+    own = fingerprint(docs.select("doc_id", "text", terms(F.col("text")).alias("t")), band, "f")
     both = with_next(own, buckets).withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.expr("cast(n_chars div 2 as int)")
     both = both.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half)))
-    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "f", "next_f", terms(F.col("edited")).alias("t")).withColumn("t", fingerprint(F.col("t"), band)).withColumn("e", subset_hashes(F.col("t")))
-    return both.select("doc_id", "n_chars", "edited_sha256", shown(F.col("f")).alias("fingerprint"), shown(F.col("e")).alias("edited_fingerprint"), likeness(F.col("f"), F.col("e")).alias("near_edited"), likeness(F.col("f"), F.col("next_f")).alias("near_next"))
+    both = both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(f"{x}f{y}" for x in ("", "next_") for y in ("", "_subsets")), terms(F.col("edited")).alias("t"))
+    both = fingerprint(both, band, "e")
+    return both.select("doc_id", "n_chars", "edited_sha256", shown("f").alias("fingerprint"), shown("e").alias("edited_fingerprint"), likeness("f", "e").alias("near_edited"), likeness("f", "next_f").alias("near_next"))
 
 
 def op7_i_match(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -266,6 +266,23 @@ def test_fingerprints_against_plain(spark):
         assert [x[4:] for x in got] == [pytest.approx(x[4:]) for x in want]
 
 
+def test_fingerprint_terms(spark, monkeypatch):
+    import struct
+
+    import xxhash
+
+    texts = [*ODD, "ÉCOLE École école\tABC\x0babc  Ünï İSTANBUL ẞA", "ΑΒΓ \u212aELVIN ABC\r\nabc\x0c", "\x1fPlain ABC\x85D  abc ", "Ž" * 3000 + " A"]
+    df = docs(spark, texts).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    signed = lambda h: struct.unpack("<q", struct.pack("<Q", h))[0]
+    for r in df.select("doc_id", fingerprint.terms(F.col("text")).alias("t")).collect():
+        assert r["t"] == sorted({signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words(texts[r["doc_id"]])})
+    plans, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: plans.append(self._jdf.queryExecution().optimizedPlan().toString()) or collect(self))
+    assert fingerprint.lexicon(df, 0.1, 0.9)
+    # no filter in front of an explode works a text's terms out a second time
+    assert any("split(" in p for p in plans) and not any("Filter" in x and "split(" in x for p in plans for x in p.splitlines())
+
+
 def test_fingerprints_of_a_large_group(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
